@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import packing, tokens
+from sedimark.llm import format_dups, packing, tokens
 from sedimark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of evidence that repeat a record in other formatting."""
+    return format_dups.copies(table(spark, d, "evidence"))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each record once, with its number of copies."""
+    return format_dups.records(table(spark, d, "evidence"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents"))
@@ -33,6 +43,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_records": p4_records,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p9_placements": p9_placements,
