@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm import folding
-from sedimark.session import cut, spread
+from sedimark.session import cut, spread, staged
 
 KEYS = ["repo", "line", "k1", "k2"]
 
@@ -53,7 +53,7 @@ def copies(evidence: DataFrame) -> DataFrame:
     rows = evidence.where("evidence_id is not null").select(
         F.col("evidence_id").cast("long").alias("evidence_id"), "repo", F.col("line").cast("int").alias("line"), "file", "rule_id", "match"
     )
-    hashed = cut(spread(rows).mapInArrow(_hashed, "evidence_id bigint, repo string, line int, file string, rule_id string, match string, k1 bigint, k2 bigint"))
+    hashed = staged(spread(rows).mapInArrow(_hashed, "evidence_id bigint, repo string, line int, file string, rule_id string, match string, k1 bigint, k2 bigint"))
     groups = hashed.groupBy(*KEYS).agg(F.min(F.struct("evidence_id", "file", "rule_id", "match")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     on = [hashed[k].eqNullSafe(groups[k]) for k in KEYS]
     met = hashed.join(groups, on).where("evidence_id <> first.evidence_id")
