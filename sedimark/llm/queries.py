@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import format_dups, packing, tokens
+from sedimark.llm import format_dups, packing, reading, tokens
 from sedimark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,21 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(p9_placements(spark, d), table(spark, d, "pack_capacities"))
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The estimated reading level of every document."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "doc_levels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Prose of reading level 4 or 5."""
+    return reading.hard(p10_levels(spark, d))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by kind and level."""
+    return reading.profile(p10_levels(spark, d), table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_records": p4_records,
@@ -49,6 +64,9 @@ QUERIES: dict[str, Query] = {
     "p8_counts": p8_counts,
     "p9_placements": p9_placements,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
+    "p10_profile": p10_profile,
 }
 
 SQL: dict[str, str] = {}
