@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import format_dups, packing, reading, tokens
+from sedimark.llm import format_dups, packing, reading, secrets, tokens
 from sedimark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,21 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return format_dups.records(table(spark, d, "evidence"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of files and evidence with an embedded credential."""
+    return secrets.find(table(spark, d, "files"), table(spark, d, "evidence"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that hold credentials, with every one hidden."""
+    return secrets.redacted(table(spark, d, "files"), table(spark, d, "evidence"))
+
+
+def p5_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Lines found against the zones of an earlier scan, by repo."""
+    return secrets.coverage(p5_found(spark, d), table(spark, d, "redaction_zones"), table(spark, d, "files"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents"))
@@ -60,6 +75,9 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p5_zones": p5_zones,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p9_placements": p9_placements,
