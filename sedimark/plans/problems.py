@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.operators import snapshots
+from sedimark.operators import nested, schema_drift, snapshots
 from sedimark.session import table
 
 SNAPSHOT_TABLES = {"file_signatures": (["path"], ["sha256"]), "cite_snapshots": (["cite_id"], ["rule_id", "match"])}
@@ -47,7 +47,42 @@ def _p6_sql(name: str, key: str, values: list[str]) -> str:
 
 _FILES, _CITES = _p6_sql("file_signatures", "path", ["sha256"]), _p6_sql("cite_snapshots", "cite_id", ["rule_id", "match"])
 
-QUERIES = {"p6_found": p6_found, "p6_changes": p6_changes}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Schema changes from file to file."""
+    return schema_drift.drift(table(spark, d, "artifacts")).select("artifact_id", "field_path", "change_kind")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Schema changes by path, kind and types, over all streams."""
+    got = schema_drift.drift(table(spark, d, "artifacts"))
+    return got.groupBy("field_path", "change_kind", "old_path", "old_type", "new_type").agg(F.count("*").alias("n_files"))
+
+
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    """All readable files in one table of typed columns."""
+    return schema_drift.consistent_table(table(spark, d, "artifacts"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the nested payloads with its parent."""
+    return nested.nodes(table(spark, d, "artifacts")).select("artifact_id", "node_path", "parent_path")
+
+
+def p7_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables with their numbers of rows."""
+    return nested.table_counts(nested.nodes(table(spark, d, "artifacts")))
+
+
+def p7_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of evidence rows."""
+    cols = {"file": "string", "line": "int", "match": "string", "rule_id": "string"}
+    return nested.flat_table(nested.nodes(table(spark, d, "artifacts")), "evidence.%[]", cols).where("not contains(substring(schema_path, 10), '[].')")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_report": p2_report, "p2_table": p2_table, "p7_found": p7_found, "p7_tables": p7_tables, "p7_evidence": p7_evidence,
+    "p6_found": p6_found, "p6_changes": p6_changes,
+}
 SQL = {
     "p6_found": f"select tbl, snapshot_no, repo, rec_key, change_kind from {_FILES} union all select tbl, snapshot_no, repo, rec_key, change_kind from {_CITES}",
     "p6_changes": f"select snapshot_no, repo, rec_key as cite_id, change_kind, old_rule_id, new_rule_id, old_match, new_match from {_CITES}",
