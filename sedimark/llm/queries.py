@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import format_dups, packing, reading, secrets, tokens
+from sedimark.llm import format_dups, invalid, packing, reading, secrets, tokens
 from sedimark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not valid for their extension."""
+    return invalid.found(table(spark, d, "files"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of invalid files by repo and language."""
+    return invalid.rates(table(spark, d, "files"), table(spark, d, "ext_languages"))
+
+
+def p1_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement with the files that an earlier run skipped."""
+    return invalid.against_skipped(table(spark, d, "files"), table(spark, d, "skipped_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of evidence that repeat a record in other formatting."""
     return format_dups.copies(table(spark, d, "evidence"))
@@ -73,6 +88,9 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
+    "p1_skipped": p1_skipped,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p5_found": p5_found,
