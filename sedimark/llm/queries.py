@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import format_dups, invalid, packing, reading, secrets, tokens
+from sedimark.llm import format_dups, invalid, packing, provenance, reading, secrets, tokens
 from sedimark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,21 @@ def p1_skipped(spark: SparkSession, d: str) -> DataFrame:
     return invalid.against_skipped(table(spark, d, "files"), table(spark, d, "skipped_files"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that weren't written by hand for their repo."""
+    return provenance.sorted_out(table(spark, d, "files")).select("file_id")
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of each such file, and what told it."""
+    return provenance.sorted_out(table(spark, d, "files"))
+
+
+def p3_repos(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each repo by kind."""
+    return provenance.by_repo(table(spark, d, "files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of evidence that repeat a record in other formatting."""
     return format_dups.copies(table(spark, d, "evidence"))
@@ -91,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
     "p1_skipped": p1_skipped,
+    "p3_found": p3_found,
+    "p3_kinds": p3_kinds,
+    "p3_repos": p3_repos,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p5_found": p5_found,
