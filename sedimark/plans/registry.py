@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.plans import problems
+from sedimark.plans import problems, reference
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES, **reference.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **reference.SQL}
