@@ -38,6 +38,7 @@ _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _INLINE = re.compile(r"`[^`\n]*`|https?://\S+|\[[^\]\n]*\]|<[^>\n]*>|\([^)\n]*\)")
 _DATA = re.compile(r":\s*\"|^\S+:$|^[\w.-]+:\s")
 _CODE = re.compile(r"[{}=<>\\]|;\s*$|\w\(|[^\W\d]\.[^\W\d]")
+_COMMENT = ("//", "/*", "--", '"""')
 _FILL = re.compile(r"[\s\d.,]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,7 +57,7 @@ def prose_words(text: str | None) -> list[str]:
         s = line.strip()
         if not s or s[0] in "|#":
             continue
-        words = [] if line.startswith(("    ", "\t")) or _DATA.search(s) else _WORD.findall(s)
+        words = [] if line.startswith(("    ", "\t")) or s.startswith(_COMMENT) or _DATA.search(s) else _WORD.findall(s)
         if len(words) >= 3 and 8 * len(_CODE.findall(s)) <= len(words) and sum(map(len, words)) >= 0.6 * len(_FILL.sub("", s)):
             out += words
             kept += len(s)

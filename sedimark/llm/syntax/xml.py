@@ -13,7 +13,12 @@ _CLOSE = re.compile(rf"</({_NAME})\s*>")
 _ATTRIBUTE = re.compile(rf"({_NAME})\s*=\s*(\"[^\"]*\"|'[^']*')")
 _KNOWN = frozenset("amp lt gt quot apos".split())
 _DECLARED = re.compile(rf"<!ENTITY\s+({_NAME})\s")
-_DOCTYPE = re.compile(rf"<!DOCTYPE\s+{_NAME}(?:[^\[\]>\"']|\"[^\"]*\"|'[^']*')*(?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]\s*)?>")
+_DOCTYPE = re.compile(rf"<!DOCTYPE\s+{_NAME}(?:[^\[\]>\"']|\"[^\"]*\"|'[^']*')*(?:\[(?P<inner>(?:[^\]\"']|\"[^\"]*\"|'[^']*')*)\]\s*)?>")
+_VALUE = r"(?:\"[^\"]*\"|'[^']*')"
+_SUBSET = re.compile(
+    rf"(?:\s+|<!--(?:(?!--)[\s\S])*-->|<\?[\s\S]*?\?>|%{_NAME};|<!ENTITY\s+(?:%\s+)?{_NAME}\s+(?:{_VALUE}|(?:SYSTEM\s+|PUBLIC\s+{_VALUE}\s+){_VALUE}(?:\s+NDATA\s+{_NAME})?)\s*>"
+    rf"|<!(?:ELEMENT|ATTLIST|NOTATION)\s+{_NAME}(?:[^<>\"']|{_VALUE})*>)*\Z"
+)
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
@@ -69,7 +74,7 @@ def scan(text: str) -> None:
             pos = end + 2
         elif text.startswith("<!", at):
             m = _DOCTYPE.match(text, at)
-            if not m or rooted or typed:
+            if not m or rooted or typed or not re.match(rf"<!DOCTYPE\s+{_NAME}\s*(?:\[|>|(?:SYSTEM|PUBLIC)\s)", m.group()) or not _SUBSET.match(m["inner"] or ""):
                 raise fault(text, at, "unexpected token")
             typed = True
             known = _KNOWN | set(_DECLARED.findall(m.group()))
