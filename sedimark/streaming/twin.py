@@ -10,7 +10,7 @@ from sedimark.operators import snapshots
 
 def rule_counts(events: DataFrame, time: str = "scanned_at", key: str = "rule_id", window: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, key, n) over tumbling windows of event time; rows later than the watermark are dropped on a stream. Works on a batch alike."""
-    rows = events.where(F.col(time).isNotNull())
+    rows = events.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark(time, late)
     return rows.groupBy(F.window(time, window).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "key", "n")
@@ -18,7 +18,7 @@ def rule_counts(events: DataFrame, time: str = "scanned_at", key: str = "rule_id
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(key, start, end, n): runs of a key's rows with no pause longer than `gap`."""
-    rows = events.where(F.col(time).isNotNull())
+    rows = events.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark(time, late)
     return rows.groupBy(F.col(key).alias("key"), F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
