@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm import folding
+from sedimark.llm.batches import parts
 from sedimark.session import cut, spread, staged
 
 KEYS = ["repo", "line", "k1", "k2"]
@@ -24,7 +25,8 @@ KEYS = ["repo", "line", "k1", "k2"]
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         file, rule, match = (batch.column(i).to_pylist() for i in (3, 4, 5))
-        f, r, m = folding.plain_hash(file), folding.plain_hash(rule), folding.record_hash(match)
+        done = [(folding.plain_hash(file[a:b]), folding.plain_hash(rule[a:b]), folding.record_hash(match[a:b])) for a, b in parts(file, rule, match)]
+        f, r, m = (np.concatenate(x) for x in zip(*done)) if done else [np.zeros(0, np.uint64)] * 3
         k1 = f ^ ((r << np.uint64(13)) | (r >> np.uint64(51)))
         cols = [*batch.columns, pa.array(k1.view(np.int64)), pa.array(m.view(np.int64))]
         yield pa.RecordBatch.from_arrays(cols, names=["evidence_id", "repo", "line", "file", "rule_id", "match", "k1", "k2"])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.llm.batches import parts
 from sedimark.llm.trigrams import TrigramIndex, required
 from sedimark.session import spread
 
@@ -191,7 +192,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tbl, row_id, text, plain = (c.to_pylist() for c in batch.columns)
         t, r, n = [], [], []
-        for i, found in enumerate(find_in(text, plain)):
+        every = (x for a, b in parts(text) for x in find_in(text[a:b], plain[a:b]))
+        for i, found in enumerate(every):
             lines = {text[i].count("\n", 0, a) + 1 for a, _, _ in found}
             for line in sorted(lines):
                 t.append(tbl[i])
@@ -223,7 +225,8 @@ def redacted(files: DataFrame, evidence: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pandas()
-            found = find_in(rows["text"].tolist(), rows["plain"].tolist())
+            text, plain = rows["text"].tolist(), rows["plain"].tolist()
+            found = [x for a, b in parts(text) for x in find_in(text[a:b], plain[a:b])]
             keep = [i for i, x in enumerate(found) if x]
             out = pd.DataFrame({"tbl": rows["tbl"].iloc[keep], "row_id": rows["row_id"].iloc[keep], "text": [redact(rows["text"].iloc[i], found[i]) for i in keep], "n_hidden": [len({a for a, _, _ in found[i]}) for i in keep]})
             schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("text", pa.string()), ("n_hidden", pa.int32())])

@@ -10,28 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.llm.batches import parts
 from sedimark.llm.bpe import Encoder
 from sedimark.session import spread
 
-#: Characters encoded at once in a worker.
-CHUNK_CHARS = 4_000_000
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> Encoder:
     """One encoder for each worker process and vocabulary."""
     return Encoder(path)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    size = np.cumsum(np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts)))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_CHARS, side="right")))
-        yield at, end
-        at = end
-
-
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, ids ARRAY<INT>): each text's token ids, without special tokens, in the order of the text.
 
@@ -44,7 +32,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
+            for a, b in parts(texts):
                 offsets, ids = enc.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [id_col, "ids"])
@@ -60,7 +48,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [enc.count(texts[a:b]) for a, b in _chunks(texts)]
+            counts = [enc.count(texts[a:b]) for a, b in parts(texts)]
             flat = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.int64())], [id_col, "n_tokens"])
 
