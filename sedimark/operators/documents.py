@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimark.functions.text import posix
 from sedimark.operators.inventory import with_path
+from sedimark.session import spread
 
 #: The tag forms, and words that don't count for similarity.
 TAGS = {
@@ -68,17 +69,14 @@ def resolve_citations(docs: DataFrame, files: DataFrame) -> DataFrame:
 def claim_units(docs: DataFrame) -> DataFrame:
     """(doc_id, line, sentence) that may carry a claim: outside fences, no headings, table rules, comments, quotes or blank lines.
 
-    A fence line opens and closes; the state is folded over the lines of one text, so texts stay in their row.
+    A line is inside a fence if an odd number of fence lines stand above it; texts stay in their row.
     """
     lines = F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n"), lambda x, i: F.struct(x.alias("t"), (i + 1).alias("n")))
-    start = F.struct(F.lit(False).alias("fence"), F.expr("cast(array() as array<struct<t:string,n:int>>)").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        fence = x["t"].rlike(r"^\s*(```|~~~)")
-        take = ~fence & ~s["fence"] & ~x["t"].rlike(r"^\s*($|#{1,6}\s|\|?[\s:|-]+\|?\s*$|<!--|>)")
-        return F.struct(F.when(fence, ~s["fence"]).otherwise(s["fence"]).alias("fence"), F.when(take, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
-
-    kept = docs.where("text is not null").select("doc_id", F.explode(F.aggregate(lines, start, step, lambda s: s["kept"])).alias("l"))
+    fences = F.transform(F.filter(lines, lambda x: x["t"].rlike(r"^\s*(```|~~~)")), lambda x: x["n"])
+    rows = spread(docs.where("text is not null").select("doc_id", "text")).select("doc_id", lines.alias("lines"), fences.alias("fences"))
+    outside = lambda x: (F.size(F.filter("fences", lambda f: f < x["n"])) % 2 == 0) & ~F.array_contains("fences", x["n"])
+    plain = lambda x: ~x["t"].rlike(r"^\s*($|#{1,6}\s|\|?[\s:|-]+\|?\s*$|<!--|>)")
+    kept = rows.select("doc_id", F.explode(F.filter("lines", lambda x: plain(x) & outside(x))).alias("l"))
     body = F.trim(F.regexp_replace("l.t", r"^\s*(?:[-*+]|\d+[.)])\s+", ""))
     rows = kept.select("doc_id", F.col("l.n").alias("line"), F.explode(F.split(body, r"(?<=[.!?])\s+")).alias("sentence"))
     return rows.withColumn("sentence", F.trim("sentence")).where("sentence <> ''")

@@ -55,10 +55,10 @@ def truncated(label: str) -> str:
     return ".".join(steps[: marks[-2] + 1]) if len(marks) > 1 else ""
 
 
-def nodes(artifacts: DataFrame) -> DataFrame:
+def nodes(artifacts: DataFrame, fields: bool = True) -> DataFrame:
     """(artifact_id, label, node_path, parent_label, parent_path, schema_path, fields MAP<STRING, STRING>): every row of every payload.
 
-    `fields` has the row's own scalars as text and its other members as JSON; JSON nulls are null. Unreadable and null payloads
+    `fields` (null unless asked for) has the row's own scalars as text and its other members as JSON; JSON nulls are null. Unreadable and null payloads
     have no rows, nor do null elements, which still count as places. Payloads are walked without recursion.
     """
     cols = ["artifact_id", "label", "node_path", "parent_label", "parent_path", "schema_path", "fields"]
@@ -68,8 +68,8 @@ def nodes(artifacts: DataFrame) -> DataFrame:
             rows = []
             for a, payload in pdf.itertuples(index=False, name=None):
                 for label, path, above, schema, obj in _nodes(json_text.read(payload)):
-                    fields = {k: v if isinstance(v, str) else None if v is None else json_text.canonical(v) for k, v in obj.items()}
-                    rows.append((a, label, path, truncated(label), path[:above], schema, fields))
+                    held = {k: v if isinstance(v, str) else None if v is None else json_text.canonical(v) for k, v in obj.items()} if fields else None
+                    rows.append((a, label, path, truncated(label), path[:above], schema, held))
             yield pd.DataFrame(rows, columns=cols)
 
     rows = artifacts.where("artifact_id is not null").select(F.col("artifact_id").cast("long").alias("artifact_id"), "payload")

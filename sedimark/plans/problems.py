@@ -65,12 +65,12 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every row of the nested payloads with its parent."""
-    return nested.nodes(table(spark, d, "artifacts")).select("artifact_id", "node_path", "parent_path")
+    return nested.nodes(table(spark, d, "artifacts"), fields=False).select("artifact_id", "node_path", "parent_path")
 
 
 def p7_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables with their numbers of rows."""
-    return nested.table_counts(nested.nodes(table(spark, d, "artifacts")))
+    return nested.table_counts(nested.nodes(table(spark, d, "artifacts"), fields=False))
 
 
 def p7_evidence(spark: SparkSession, d: str) -> DataFrame:
