@@ -13,7 +13,9 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from sedimark.session import local_session
 
-    return local_session("4")
+    session = local_session("4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session
 
 
 @pytest.fixture(scope="session")
