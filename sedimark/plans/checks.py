@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
-from sedimark.operators import diff, documents, entities, gates, graph, inventory, verify
+from sedimark.operators import diff, documents, entities, gates, graph, inventory, typed, verify
 from sedimark.operators.evidence import BUCKETS
 from sedimark.plans.reference import _ENT, _FILE, _GROUPABLE, _IMPORTS, _TOKENS, _evidence, _files, _in, _list
 from sedimark.session import table
@@ -176,3 +176,18 @@ def _(spark, d):
 @query("j17_denied", "select file_id, token, n from (select file_id, token, cast((length(lower(content)) - length(replace(lower(content), token, ''))) / length(token) as int) as n from files, (select unnest(['.invalid', 'farwater']) as token) where content is not null) where n > 0")
 def _(spark, d):
     return verify.denied(_files(spark, d), [".invalid", "farwater"])
+
+
+@query("v1_annotation_rows", None)
+def _(spark, d):
+    return typed.annotation_rows(*typed.from_sources(_files(spark, d)), typed.catalogue(spark))
+
+
+@query("v1_rule_counts", None)
+def _(spark, d):
+    return QUERIES["v1_annotation_rows"](spark, d).groupBy("rule_id", "framework", "generation", "source_set").agg(F.count("*").alias("n"))
+
+
+@query("sg_findings", None)
+def _(spark, d):
+    return typed.findings(_files(spark, d))
