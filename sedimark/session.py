@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -36,17 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; set to a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    own, at = sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
     if at:
+        if not own:
+            sc.setCheckpointDir(at)
         return at
-    own = spark.sparkContext.getCheckpointDir()
     if own:
         return own
-    if not spark.sparkContext.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="sedimark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(made)
+    sc.setCheckpointDir(made)
     return made
 
 
@@ -57,8 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """As `cut`, for rows with texts: a compressed Parquet table in the shared folder, which `sweep` or the session's end removes."""
+    """As `cut`, for rows with texts: a compressed Parquet table in the shared folder, which `sweep` removes, at the latest when the process ends."""
     spark = df.sparkSession
+    if not _STAGED:
+        atexit.register(_leave, spark)
     path = f"{shared_dir(spark)}/sedimark-{uuid.uuid4().hex}"
     _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
@@ -75,6 +80,11 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _leave(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        sweep(spark)
+
+
 def spread(df: DataFrame, rows_per_task: int = 0) -> DataFrame:
     """`df` over at least as many partitions as the cluster has cores, for stages whose CPU time is large against their bytes.
 
