@@ -92,7 +92,7 @@ def _(spark, d):
 
 @query(
     "d16_slices",
-    f"with {_GROUPABLE}, {_TOKENS}, m as (select repo, split_part(path, '/', 1) as module, sum(tokens) as t from t group by 1, 2), p as (select repo, count(*) as n, sum(t) as total, cast(floor(sum(t) / count(*)) as bigint) as mean, max(t) as largest from m group by 1) "
+    f"with {_GROUPABLE}, {_TOKENS}, m as (select repo, split_part(path, '/', 1) as module, cast(sum(tokens) as bigint) as t from t group by 1, 2), p as (select repo, count(*) as n, cast(sum(t) as bigint) as total, cast(floor(sum(t) / count(*)) as bigint) as mean, max(t) as largest from m group by 1) "
     "select *, concat_ws('; ', case when largest > 1500 then 'slice over threshold' end, case when largest > 4 * mean then 'lopsided slices' end, case when n = 1 then 'single slice' end) as warnings from p",
 )
 def _(spark, d):
@@ -109,7 +109,7 @@ def _(spark, d):
     return verify.token_classes(_files(spark, d))
 
 
-@query("d37_tag_totals", r"with c as (select len(regexp_extract_all(coalesce(text, ''), '\[Evidenced — [^\];]+(?:; inference avoided beyond this)?\]')) as e, len(regexp_extract_all(coalesce(text, ''), '\[Confirmed — interview, [^\]]+\]')) as c from documents) select 'evidenced' as tag, sum(e) as n from c union all select 'confirmed' as tag, sum(c) as n from c")
+@query("d37_tag_totals", r"with c as (select len(regexp_extract_all(coalesce(text, ''), '\[Evidenced — [^\];]+(?:; inference avoided beyond this)?\]')) as e, len(regexp_extract_all(coalesce(text, ''), '\[Confirmed — interview, [^\]]+\]')) as c from documents) select 'evidenced' as tag, cast(sum(e) as bigint) as n from c union all select 'confirmed' as tag, cast(sum(c) as bigint) as n from c")
 def _(spark, d):
     rows = documents.tag_counts(table(spark, d, "documents"))
     each = F.explode(F.create_map(F.lit("evidenced"), F.col("evidenced"), F.lit("confirmed"), F.col("confirmed")))

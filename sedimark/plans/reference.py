@@ -216,9 +216,10 @@ def _(spark, d):
     return evidence.emit_counts(_evidence(spark, d))
 
 
-@query("d6_key_sets", r"select repo, trim(replace(file, '\', '/')) as file, list_sort(list(distinct key) filter (key is not null)) as keys from (select repo, file, unnest(case when len(keys) > 0 then keys else [null] end) as key from config_key_sets) group by 1, 2")
+@query("d6_key_sets", r"select repo, trim(replace(file, '\', '/')) as file, array_to_string(list_sort(list(distinct key) filter (key is not null)), ',') as keys from (select repo, file, unnest(case when len(keys) > 0 then keys else [null] end) as key from config_key_sets) group by 1, 2")
 def _(spark, d):
-    return evidence.key_sets(table(spark, d, "config_key_sets")).where("size(keys) > 0").unionByName(evidence.key_sets(table(spark, d, "config_key_sets")).where("size(keys) = 0").withColumn("keys", F.lit(None).cast("array<string>")))
+    rows = evidence.key_sets(table(spark, d, "config_key_sets"))
+    return rows.withColumn("keys", F.when(F.size("keys") > 0, F.array_join("keys", ",")))
 
 
 @query(
@@ -359,9 +360,9 @@ def _(spark, d):
     return entities.jpql_lineage(both.where("query_kind = 'jpql'"), found)
 
 
-@query("h6_native_tables", rf"with {_QUERY} select evidence_id, list_sort(list_distinct(regexp_extract_all(query, '(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)', 1))) as tables from q where query_kind = 'native' and query is not null")
+@query("h6_native_tables", rf"with {_QUERY} select evidence_id, array_to_string(list_sort(list_distinct(regexp_extract_all(query, '(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)', 1))), ',') as tables from q where query_kind = 'native' and query is not null")
 def _(spark, d):
-    return entities.read_tables(entities.evidence_queries(_evidence(spark, d))).select("evidence_id", "tables")
+    return entities.read_tables(entities.evidence_queries(_evidence(spark, d))).select("evidence_id", F.array_join("tables", ",").alias("tables"))
 
 
 @query(
