@@ -1,6 +1,7 @@
-"""Credentials in source text: found by detection expressions on candidate chunks, and hidden in place.
+"""Credentials in source text: found by detection expressions on candidate texts, and hidden in place.
 
-Texts are cut into chunks; a trigram index of the chunks names the candidates of each expression, and only those are matched.
+A trigram index names the candidate texts of each expression, and only those are matched, each as a whole: neither the length of
+a text nor that of a value is bounded.
 An expression proposes a value in a context that carries credentials (a telling name, a call, a URL, a known token format, a
 key block); the value is then judged: references, placeholders, names, hashes, numbers and public material are no credentials.
 """
@@ -19,9 +20,6 @@ from sedimark.llm.batches import parts
 from sedimark.llm.trigrams import TrigramIndex, required
 from sedimark.session import spread
 
-#: Chunks of a text, in characters, and how much neighbours share, so that no match falls between two.
-CHUNK, OVERLAP = 65_536, 4_096
-
 #: Last words of names that carry credentials, in several languages, and pairs of last words.
 TELLING = frozenset(
     "pass password passwd passphrase passcode pwd secret token auth authorization bearer cred creds credential credentials apikey kennwort passwort "
@@ -42,21 +40,25 @@ _FORMATS = (
 
 #: name -> (expression, flags). Group v is the value, group s (where present) ends the name to judge.
 EXPRESSIONS: dict[str, tuple[str, int]] = {
-    "private_key": (r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\n|\\r|[\s\"'+,#|*/\\])*[A-Za-z0-9+/=]{16,})", 0),
-    "url": (r"[A-Za-z][\w+.-]{1,20}://[^\s:/@\"'<>]{0,100}:(?P<v>[^\s@/\"'<>]{3,200})@[\w\[]", 0),
+    "private_key": (
+        r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\n|\\r|[\s\"'+,#|*/\\])*"
+        r"(?:[A-Za-z][A-Za-z0-9-]*+:[ \t][^\n\\]*+(?:\\n|\\r|[\s\"'+,#|*/\\])+)*+[A-Za-z0-9+/=]{16,}+)", 0,
+    ),
+    "url": (r"[A-Za-z][\w+.-]{1,20}://[^\s:/@\"'<>]*+:(?P<v>[^\s@/\"'<>]{3,}+)@[\w\[]", 0),
     "format": (rf"(?P<v>{_FORMATS})", 0),
     "scheme": (r"\bBasic (?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![\w+/=])", 0),
     "named": (
-        rf"(?P<s>{STEM})(?:[\"']?\s*\]?\s*(?:=>|:=|[:=,])\s*[\"'](?P<v>[^\"'\n]{{4,4000}})[\"']|\(\s*[\"'](?P<call>[^\"'\n]{{4,4000}})[\"']\s*\)"
-        r"|>(?P<element>[^<\n]{4,4000})</|[ \t]*[:=][ \t]*(?P<line>[^\s\"'][^\s]{3,4000}(?: [A-Za-z0-9+/]{8,}={0,2})?)[ \t\r]*(?=\n|\Z))", re.I,
+        rf"(?P<s>{STEM})(?:[\"']?\s*(?:\]\s*)?(?:=>|:=|[:=,])\s*[\"'](?P<v>[^\"'\n]{{4,}}+)[\"']|\(\s*[\"'](?P<call>[^\"'\n]{{4,}}+)[\"']\s*\))", re.I,
     ),
-    "property": (rf"name\s*=\s*[\"'][\w.-]{{0,60}}?(?P<s>{STEM})[\"']\s+value\s*=\s*[\"'](?P<v>[^\"'\n]{{4,4000}})[\"']", re.I),
-    "pair": (rf"name:\s*[\"']?[\w.-]{{0,60}}?(?P<s>{STEM})[\"']?\s*\n\s*value:\s*[\"']?(?P<v>[^\"'\s]{{4,4000}})", re.I),
-    "sql": (r"(?:\bpassword|\bidentified\s+by)\s+'(?P<v>[^'\n]{4,400})'", re.I),
-    "login": (r"basic[-_]?auth\w*\(\s*[\"'][^\"'\n]*[\"']\s*,\s*[\"'](?P<v>[^\"'\n]{4,400})[\"']", re.I),
-    "header": (r"header\(\s*[\"'](?P<h>[^\"'\n]+)[\"']\s*,\s*[\"'](?P<v>[^\"'\n]{6,4000})[\"']", re.I),
-    "remark": (r"\b(?:login|password|passwd|pwd|credentials?)[ \t]+(?:was|is|are|were)[ \t]+(?:[\w.@-]+[ \t]*[/:][ \t]*)?(?P<v>\S{6,200})", re.I),
-    "note": (rf"[\"'][\w.-]{{0,60}}?(?P<s>{STEM}) (?P<v>[^\s\"']{{6,400}})[\"']", re.I),
+    "element": (rf"(?P<s>{STEM})>(?P<v>[^\S\n]*+(?:(?:Basic|Bearer|Token)[^\S\n]++)?[^<\s]{{4,}}+[^\S\n]*+)</", re.I),
+    "line": (rf"^[ \t-]*+[\w.$-]*?(?P<s>{STEM})[ \t]*[:=](?![=>]?[ \t]*[\"'])[ \t]*(?P<line>[^\s\"']\S{{3,}}+(?: [A-Za-z0-9+/]{{8,}}={{0,2}})?)[ \t\r]*+(?=\n|\Z)", re.I | re.M),
+    "property": (rf"name\s*=\s*[\"'][\w.-]*?(?P<s>{STEM})[\"']\s+value\s*=\s*[\"'](?P<v>[^\"'\n]{{4,}}+)[\"']", re.I),
+    "pair": (rf"name:\s*[\"']?[\w.-]*?(?P<s>{STEM})[\"']?[^\S\n]*+\n\s*value:\s*[\"']?(?P<v>[^\"'\s]{{4,}}+)", re.I),
+    "sql": (r"(?:\bpassword|\bidentified\s+by)\s+'(?P<v>[^'\n]{4,}+)'", re.I),
+    "login": (r"basic[-_]?auth\w*\(\s*[\"'][^\"'\n]*[\"']\s*,\s*[\"'](?P<v>[^\"'\n]{4,}+)[\"']", re.I),
+    "header": (r"header\(\s*[\"'](?P<h>[^\"'\n]+)[\"']\s*,\s*[\"'](?P<v>[^\"'\n]{6,}+)[\"']", re.I),
+    "remark": (r"\b(?:login|password|passwd|pwd|credentials?)[ \t]+(?:was|is|are|were)[ \t]+(?:[\w.@-]+[ \t]*[/:][ \t]*)?(?P<v>\S{6,}+)", re.I),
+    "note": (rf"[\"'][\w.-]*?(?P<s>{STEM}) (?P<v>[^\s\"']{{6,}}+)[\"']", re.I),
 }
 _COMPILED = {name: re.compile(p, f) for name, (p, f) in EXPRESSIONS.items()}
 NAMES = list(EXPRESSIONS)
@@ -66,7 +68,6 @@ INDEX: list[TrigramIndex] = []
 PLAIN = frozenset("properties yml yaml env ini conf cfg toml md txt sql".split())
 
 _WORDS = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+|\d+")
-_NAME_BEFORE = re.compile(r"[\w.$-]{0,80}\Z")
 _REFERENCE = re.compile(r"\$\{|\{\{|#\{|\$\(|^\$(?:[A-Z_]{3,}|[a-z_]{3,})$|^%\w+%$|^%\(|^<.*>$|^&lt;|^&#60;|^\[.*\]$|^!(?:vault|secret|ref|sub|include|env)\b|^(?:vault|env|secret|ssm|arn|keyring|file|classpath)[:/.]|\(\)")
 _PLACEHOLDER = re.compile(r"^(.)\1*\Z|\.{3}|^(?:[x*#?-]{3,})$|change[-_ ]?(?:me|it)\b|(?:^|\W)(?:your|my|some)[-_ ]|example|dummy|placeholder|redacted|^(?:none|null|nil|todo|tbd|true|false|default|undefined|unset|empty|string|secret|password|hidden|masked)$", re.I)
 _HASH = re.compile(r"^(?:sha\d+|md5|blake\w*)[-:=]|^\$(?:2[aby]?|argon2\w*|5|6|1)\$|^\{(?:bcrypt|noop|pbkdf2|sha)|^data:|^[\w+.-]+://|^(?:ssh-\w+|ecdsa-\S+) |^-----", re.I)
@@ -102,7 +103,7 @@ def plausible(value: str) -> bool:
 
 def _value(m: re.Match[str]) -> str:
     """The group that holds the value."""
-    return next(g for g in ("v", "call", "element", "line") if g in m.re.groupindex and m[g] is not None)
+    return next(g for g in ("v", "call", "line") if g in m.re.groupindex and m[g] is not None)
 
 
 def _judged(rule: str, text: str, m: re.Match[str], group: str, plain: bool) -> bool:
@@ -117,8 +118,10 @@ def _judged(rule: str, text: str, m: re.Match[str], group: str, plain: bool) ->
         v = v.rstrip(".,;:)!?\"'")
         return plausible(v) and (any(c.isdigit() for c in v) or any(c.isupper() for c in v[1:]))
     if "s" in m.re.groupindex:
-        a = _NAME_BEFORE.search(text, max(0, m.start("s") - 80), m.start("s")).start()
-        if group == "line" and (not plain or text[text.rfind("\n", 0, a) + 1 : a].strip(" \t-")):
+        a = m.start("s")
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_.$-"):
+            a -= 1
+        if group == "line" and text[text.rfind("\n", 0, a) + 1 : a].strip(" \t-"):
             return False
         if not telling(text[a : m.end("s")]):
             return False
@@ -132,55 +135,59 @@ def _index() -> TrigramIndex:
 
 
 def spans(text: str, rules: list[str], plain: bool) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of the credentials that the given expressions find."""
+    """(start, end, rule) of the credentials that the given expressions find. The inside of a rejected value is searched as well."""
     out = []
     for rule in rules:
-        for m in _COMPILED[rule].finditer(text):
+        if rule == "line" and not plain:
+            continue
+        at = 0
+        while m := _COMPILED[rule].search(text, at):
             group = _value(m)
             if _judged(rule, text, m, group, plain):
                 end = m.start(group) + len(m[group].rstrip(".,;:)!?\"'")) if rule == "remark" else m.end(group)
                 out.append((m.start(0) if rule == "private_key" else m.start(group), end, rule))
+                at = m.end()
+            else:
+                at = m.end("s") if "s" in m.re.groupindex else m.start(group)
     return out
 
 
-def _chunks(text: str) -> list[tuple[int, str]]:
-    if len(text) <= CHUNK:
-        return [(0, text)]
-    return [(a, text[a : a + CHUNK]) for a in range(0, max(1, len(text) - OVERLAP), CHUNK - OVERLAP)]
-
-
 def find_in(texts: list[str | None], plain: list[bool]) -> list[list[tuple[int, int, str]]]:
-    """The credentials of each text, by start; candidates come from the trigram index of all chunks."""
-    owner, offset, parts = [], [], []
-    for i, t in enumerate(texts):
-        if t:
-            for a, part in _chunks(t):
-                owner.append(i)
-                offset.append(a)
-                parts.append(part)
-    hit = _index().candidates([p.encode("utf-8", "surrogatepass") for p in parts])
+    """The credentials of each text, by start; candidates come from the trigram index of the texts."""
+    hit = _index().candidates([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for c in hit.any(axis=0).nonzero()[0]:
-        i = owner[c]
-        found = spans(parts[c], [NAMES[e] for e in hit[:, c].nonzero()[0]], plain[i])
-        out[i] += [(a + offset[c], b + offset[c], rule) for a, b, rule in found]
-    return [sorted(set(x)) for x in out]
+    for i in hit.any(axis=0).nonzero()[0]:
+        if texts[i]:
+            out[i] = sorted(set(spans(texts[i], [NAMES[e] for e in hit[:, i].nonzero()[0]], plain[i])))
+    return out
 
 
 _KEY_END = re.compile(r"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
 
 
+def _merged(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
+    """(start, end, block) of what is to be hidden: overlapping credentials as their union. A key block reaches to its END mark and
+    stays a block unless another credential sticks out of it."""
+    out: list[tuple[int, int, bool]] = []
+    for a, b, rule in sorted(found):
+        block = rule == "private_key"
+        if block and (end := _KEY_END.search(text, b)):
+            b = end.start()
+        if out and a < out[-1][1]:
+            x, y, was = out[-1]
+            out[-1] = (x, max(y, b), was and b <= y or block and a == x and b >= y)
+        else:
+            out.append((a, b, block))
+    return out
+
+
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     """The text with every credential hidden: values by REDACTED, letters of a key block by X, so that quotes, line ends and
     everything around them stay as they are."""
     out, at = [], 0
-    for a, b, rule in found:
-        if a < at:
-            continue
-        if rule == "private_key":
+    for a, b, block in _merged(text, found):
+        if block:
             head = text.index("-----", a + 5) + 5
-            end = _KEY_END.search(text, head)
-            b = end.start() if end else b
             out += [text[at:head], re.sub(r"(?<!\\)[A-Za-z0-9+/=]{16,}", lambda m: "X" * len(m.group()), text[head:b])]
         else:
             out += [text[at:a], "REDACTED"]
@@ -228,7 +235,7 @@ def redacted(files: DataFrame, evidence: DataFrame) -> DataFrame:
             text, plain = rows["text"].tolist(), rows["plain"].tolist()
             found = [x for a, b in parts(text) for x in find_in(text[a:b], plain[a:b])]
             keep = [i for i, x in enumerate(found) if x]
-            out = pd.DataFrame({"tbl": rows["tbl"].iloc[keep], "row_id": rows["row_id"].iloc[keep], "text": [redact(rows["text"].iloc[i], found[i]) for i in keep], "n_hidden": [len({a for a, _, _ in found[i]}) for i in keep]})
+            out = pd.DataFrame({"tbl": rows["tbl"].iloc[keep], "row_id": rows["row_id"].iloc[keep], "text": [redact(rows["text"].iloc[i], found[i]) for i in keep], "n_hidden": [len(_merged(rows["text"].iloc[i], found[i])) for i in keep]})
             schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("text", pa.string()), ("n_hidden", pa.int32())])
             yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
 
