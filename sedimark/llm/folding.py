@@ -2,11 +2,13 @@
 
 The table gives, for every code point, how many characters it folds to (0: skipped, as white space and signs are) and which
 (letter case removed). A batch of strings is one array of code points; its hashes come from segment sums of folded characters
-times powers of a base, modulo two primes. No canonical string is built.
+times powers of a base, modulo two primes. Records are grouped by what neither signs nor order can change, the bag of their folded
+characters, and then compared exactly: as streams by two pointers, and by a canonical form with named attributes in order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -15,8 +17,6 @@ import numpy as np
 #: Two primes under 2^31 and a base for each.
 PRIMES = ((2147483647, 1000003), (2147483629, 9176801))
 _POINTS = 0x110000
-#: Codes outside of Unicode that mark where named attributes stood, and the end of an attribute's name.
-GROUP, NAME = _POINTS + 1, _POINTS + 2
 
 
 @lru_cache(maxsize=1)
@@ -71,53 +71,21 @@ def segment_hashes(chars: np.ndarray, seg: np.ndarray, n_seg: int) -> list[np.nd
     return out
 
 
-_SIGN = re.compile(r"[(),\"'“”„‘’{}\[\]]")
-_NAMED = re.compile(r"\s*[^\W\d][\w.$-]*\s*[=:]")
+_SIGN = re.compile(r"[(),;\"'“”„‘’{}\[\]]")
+_NAMED = re.compile(r"\s*(?:[\"'`][^\W\d][\w.$-]*[\"'`]|[^\w\s\"'`(){}\[\],;=:]*[^\W\d][\w.$-]*)\s*[=:]")
 _CLOSES = {'"': '"', "'": "'", "“": "“”\"", "”": "”“", "„": "“”„", "‘": "’‘", "’": "’‘"}
-
-
-def attributes(text: str) -> list[tuple[int, int, int]]:
-    """(start, end of the name, end) of the named attributes in each outermost pair of parentheses that has two or more.
-
-    Commas inside quotes or inner brackets don't separate. What follows a comma and has no name belongs to the attribute
-    before it. The first of each pair comes with a negative end of name, so that pairs can be told apart.
-    """
-    if "(" not in text or "," not in text:
-        return []
-    out: list[tuple[int, int, int]] = []
-    depth, quote, cuts, opened = 0, "", [], 0
-    for m in _SIGN.finditer(text):
-        ch = m.group()
-        if quote:
-            if ch in quote:
-                quote = ""
-        elif ch in _CLOSES:
-            if depth and any(x in text[m.end() :] for x in _CLOSES[ch]):
-                quote = _CLOSES[ch]
-        elif ch in "([{":
-            depth += 1
-            if depth == 1:
-                cuts, opened = [m.end()], ch == "("
-        elif ch in ")]}":
-            depth = max(0, depth - 1)
-            if depth == 0 and opened and len(cuts) > 1:
-                out += _named(text, [*cuts, m.end()])
-                opened = 0
-        elif depth == 1 and opened:
-            cuts.append(m.end())
-    return out
+_SKIPPED = re.compile(r"[\W_]+")
 
 
 def _named(text: str, cuts: list[int]) -> list[tuple[int, int, int]]:
+    """(start, end of the name, end) of the named attributes between separators, if there are two or more."""
     got: list[list[int]] = []
     for a, b in zip(cuts, cuts[1:]):
         if m := _NAMED.match(text, a, b):
             got.append([a, m.end(), b])
         elif got:
             got[-1][2] = b
-    if len(got) < 2:
-        return []
-    return [(a, -n if i == 0 else n, b) for i, (a, n, b) in enumerate(got)]
+    return [(a, n, b) for a, n, b in got] if len(got) > 1 else []
 
 
 def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,42 +111,32 @@ def plain_hash(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def record_hash(texts: list[str | None]) -> np.ndarray:
-    """As plain_hash, but named attributes of one pair of parentheses count in any order, each as one unit of name and value."""
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    """A 64-bit value for each code point."""
+    points = np.arange(_POINTS, dtype=np.int64)
+    return _mix([points + 1, points * 3 + 5], 0x27D4)
+
+
+def bag_hash(texts: list[str | None]) -> np.ndarray:
+    """A 64-bit hash of each text's folded characters in any order; null has its own."""
     points, size = _points(texts)
-    base = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(texts)), size)
-    # segment 0..n-1: what stands in fixed order in each row; beyond: one for each attribute
-    seg = row.copy()
-    name_end, group_at, owner = [], [], []
-    nxt = len(texts)
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        for a, n, b in attributes(t):
-            seg[base[i] + a : base[i] + b] = nxt
-            if n < 0:
-                group_at.append((int(base[i] + a), i))
-            name_end.append((int(base[i] + abs(n)), nxt))
-            owner.append(i)
-            nxt += 1
     chars, src = stream(points)
-    s = seg[src] if len(points) else src
-    if name_end:
-        at = np.array([x for x, _ in group_at] + [x for x, _ in name_end], np.int64)
-        marks = np.array([GROUP] * len(group_at) + [NAME] * len(name_end), np.int32)
-        of = np.array([x for _, x in group_at] + [x for _, x in name_end], np.int64)
-        pos = np.concatenate([2 * src + 1, 2 * at])
-        order = np.lexsort((pos, np.concatenate([s, of])))
-        chars, s = np.concatenate([chars, marks])[order], np.concatenate([s, of])[order]
-    h = _mix(segment_hashes(chars, s, nxt), 0x5BD1)
-    out = h[: len(texts)].copy()
-    if owner:
-        np.add.at(out, np.array(owner, np.int64), h[len(texts) :] | np.uint64(1))
+    out = np.zeros(len(texts), np.uint64)
+    if len(src):
+        row = np.repeat(np.arange(len(texts)), size)[src]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        out[row[starts]] = np.add.reduceat(_weights()[chars], starts)
     out[[t is None for t in texts]] = np.uint64(0x9E3779B97F4A7C15)
     return out
 
 
+def record_hash(texts: list[str | None]) -> np.ndarray:
+    """A 64-bit hash of each text's canonical form; null has its own."""
+    out = [0x9E3779B97F4A7C15 if t is None else int.from_bytes(hashlib.blake2b(canonical(t).encode("utf-8", "surrogatepass"), digest_size=8).digest()) for t in texts]
+    return np.array(out, np.uint64)
+
+
 def same_stream(a: str | None, b: str | None) -> bool:
     """Two pointers over both texts, skipping signs and folding letters: do they agree?"""
     if a is None or b is None:
@@ -202,18 +160,9 @@ def same_stream(a: str | None, b: str | None) -> bool:
             return False
 
 
-def _parts(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
-    """Fixed text before each run of named attributes, with the attributes."""
-    out: list[tuple[str, list[tuple[str, str]]]] = []
-    at = 0
-    for a, n, b in attributes(text):
-        if n < 0:
-            out.append((text[at:a], []))
-        elif text[at:a]:
-            out[-1] = (out[-1][0] + text[at:a], out[-1][1])
-        out[-1][1].append((text[a : abs(n)], text[abs(n) : b]))
-        at = b
-    return [*out, (text[at:], [])]
+def structured(text: str | None) -> bool:
+    """Whether a text may have attributes that can be reordered."""
+    return bool(text) and "(" in text and ("," in text or ";" in text)
 
 
 def same_record(a: str | None, b: str | None) -> bool:
@@ -222,27 +171,61 @@ def same_record(a: str | None, b: str | None) -> bool:
         return a is b
     if a == b:
         return True
-    left, right = _parts(a), _parts(b)
-    if len(left) != len(right):
-        return False
-    for (fixed_a, named_a), (fixed_b, named_b) in zip(left, right):
-        if len(named_a) != len(named_b) or not same_stream(fixed_a, fixed_b):
-            return False
-        rest = list(named_b)
-        for name, value in named_a:
-            hit = next((k for k, (n, v) in enumerate(rest) if same_stream(name, n) and same_stream(value, v)), None)
-            if hit is None:
-                return False
-            rest.pop(hit)
-    return True
+    return canonical(a) == canonical(b) if structured(a) or structured(b) else same_stream(a, b)
 
 
-def canonical(text: str | None) -> str | None:
-    """The canonical form, for the rare rows whose hashes agree and whose texts don't."""
-    if text is None:
-        return None
+def folded(text: str | None) -> str | None:
+    """The characters that same_stream compares."""
+    return None if text is None else _SKIPPED.sub("", text).casefold()
 
-    def fold(x: str) -> str:
-        return "".join(ch.casefold() for ch in x if ch.isalnum())
 
-    return "\x01".join("\x02".join([fold(f), *sorted(fold(n) + "\x03" + fold(v) for n, v in named)]) for f, named in _parts(text))
+@lru_cache(maxsize=1024)
+def canonical(text: str | None) -> str | None:
+    """The folded text with the named attributes of each pair of parentheses, at any depth, in order.
+
+    Commas and semicolons separate, but not inside quotes or inner brackets. What follows a separator and has no name belongs to the
+    attribute before it. Inner pairs are done first and count as a part of the value they stand in.
+    """
+    if not structured(text):
+        return folded(text)
+    Done = list[tuple[int, int, str]]  # finished pairs: (start, end, canonical form)
+
+    def render(a: int, b: int, inner: Done) -> str:
+        out = []
+        for x, y, form in inner:
+            if a <= x and y <= b:
+                out += [folded(text[a:x]), form]
+                a = y
+        return "".join([*out, folded(text[a:b])])
+
+    frames: list[tuple[bool, list[int], Done]] = [(False, [], [])]
+    quote = ""
+    for m in _SIGN.finditer(text):
+        ch = m.group()
+        if quote:
+            if ch in quote:
+                quote = ""
+        elif ch in _CLOSES:
+            if len(frames) > 1 and any(text.find(x, m.end()) >= 0 for x in _CLOSES[ch]):
+                quote = _CLOSES[ch]
+        elif ch in "([{":
+            frames.append((ch == "(", [m.end()], []))
+        elif ch in ")]}":
+            if len(frames) > 1:
+                round_, cuts, inner = frames.pop()
+                named = _named(text, [*cuts, m.end()]) if round_ and len(cuts) > 1 else []
+                if named:
+                    units, k = [], 0
+                    for a, n, b in named:
+                        while k < len(inner) and inner[k][0] < a:
+                            k += 1
+                        first = k
+                        while k < len(inner) and inner[k][0] < b:
+                            k += 1
+                        units.append(folded(text[a:n]) + "\x03" + render(n, b, inner[first:k]))
+                    start, end = named[0][0], named[-1][2]
+                    inner = [x for x in inner if x[0] < start] + [(start, end, "\x01" + "\x02".join(sorted(units)) + "\x06")]
+                frames[-1][2].extend(inner)
+        elif frames[-1][0]:
+            frames[-1][1].append(m.end())
+    return render(0, len(text), [x for f in frames for x in f[2]])

@@ -177,6 +177,20 @@ def test_copies_and_collisions(spark, monkeypatch):
     assert {tuple(r) for r in format_dups.copies(df).collect()} == {(5, 9), (7, 8)}
 
 
+def test_copies_with_other_signs_and_inner_attributes(spark):
+    cols = "evidence_id bigint, repo string, line int, file string, rule_id string, match string"
+    groups = [
+        ["@Column(name='a'; length=5)", "@Column(name='a', length=5)", "@Column(length=5, name='a')", "Column name a length 5", "@Column length=5, name='a'", "@Column(length=5; name='a')"],
+        ["@Table(indexes=@Index(name='i', columnList='c'))", "@Table(indexes=@Index(columnList='c', name='i'))", "@Table indexes=@Index(columnList='c' name='i')"],
+        ["@T(x={@I(a=1, b=2), @I(c=3, d=4)}, y=5)", "@T(y=5, x={@I(b=2, a=1), @I(d=4, c=3)})"], ["@T(x={@I(a=2, b=1), @I(c=3, d=4)}, y=5)"], ["@T(x={@I(c=3, d=4), @I(a=1, b=2)}, y=5)"],
+        ["@C(@name='a', $len=5)", "@C($len=5, @name='a')", '@C("len": 5, "name": "a")'], ["@C(@name='5', $len=a)"],
+        ["[f(a=1, b=2)]", "[f(b=2, a=1)]"], ["g('(a=1, b=2)')"], ["g('(b=2, a=1)')"],
+    ]
+    rows = [(10 * i + j, "r", 1, "a", "x", text) for i, g in enumerate(groups) for j, text in enumerate(g)]
+    want = {(10 * i, 10 * i + j) for i, g in enumerate(groups) for j in range(1, len(g))}
+    assert {tuple(r) for r in format_dups.copies(spark.createDataFrame(rows, cols)).collect()} == want
+
+
 @pytest.mark.parametrize(
     ("text", "hit"),
     [
