@@ -1,4 +1,4 @@
-"""Reading level of prose by a Rasch-style latent model.
+"""Reading level of prose by naive Bayes over five levels, in place of a Rasch-style latent model.
 
 Documents lie on the scale of the ratings, levels 1 to 5; every word has a difficulty at each level: how much less readily it
 occurs in a document of that level than in documents at large. Documents and words are estimated in turn. Given the words, a
@@ -41,29 +41,54 @@ _CODE = re.compile(r"[{}=<>\\]|;\s*$|\w\(|[^\W\d]\.[^\W\d]")
 _COMMENT = ("//", "/*", "--", '"""')
 _FILL = re.compile(r"[\s\d.,]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: A sentence after a label, as in minutes and interviews; keys of data are in lower case or have no sentence.
+_LABELLED = re.compile(r"(?:[-*+]\s+|\*\*|__)?[^\W\d_a-zà-öø-ÿ][\w.-]*(?:\*\*|__)?:(?:\*\*|__)?\s+(\S.*[.!?…][\"'»”)*_]*)$")
+_DOC_COMMENT = re.compile(r"(?s)/\*.*?(?:\*/|\Z)|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)")
+#: What a run of prose lines in a text that is mostly code begins and ends with, and what it doesn't hold.
+_SENTENCES = re.compile(r"(?s)(?:[-*+>]\s+|\d+[.)]\s+)?[\"'«“„¿¡*_]*[^\W\d_](?!.*\w_\w).*[.!?…:][\"'»”)*_]*\Z")
 
 
 def prose_words(text: str | None) -> list[str]:
     """The words of a text's prose lines, in lower case.
 
     Fenced blocks, inline code, links, bracketed tags, markup, headings and tables are left out, and so are lines that read
-    like code or data. A text of which such lines are the larger part (by characters) has no prose.
+    like code or data. A text of which such lines are the larger part (by characters) is judged by what prose it has: there only
+    runs of lines that are sentences count, outside of comments, so that statements that happen to read like words don't.
     """
     if not text:
         return []
-    out: list[str] = []
+    text = _FENCE.sub("\n", text.replace("\r\n", "\n"))
+    runs, mostly_prose = _runs(text)
+    if not mostly_prose:
+        runs = [(r, words) for r, words in _runs(_DOC_COMMENT.sub("\n", text))[0] if len(words) >= 4 and _SENTENCES.match(r)]
+    return [w.lower() for _, words in runs for w in words]
+
+
+def _runs(text: str) -> tuple[list[tuple[str, list[str]]], bool]:
+    """(runs of prose lines with their words, whether they are at least as many characters as lines of code or data)."""
+    runs: list[tuple[str, list[str]]] = []
     kept = lost = 0
-    for line in _INLINE.sub(" ", _FENCE.sub("\n", text.replace("\r\n", "\n"))).split("\n"):
+    open_ = False
+    for line in _INLINE.sub(" ", text).split("\n"):
         s = line.strip()
         if not s or s[0] in "|#":
+            open_ = False
             continue
+        if m := _LABELLED.match(s):
+            s, open_ = m[1], False
         words = [] if line.startswith(("    ", "\t")) or s.startswith(_COMMENT) or _DATA.search(s) else _WORD.findall(s)
         if len(words) >= 3 and 8 * len(_CODE.findall(s)) <= len(words) and sum(map(len, words)) >= 0.6 * len(_FILL.sub("", s)):
-            out += words
+            if open_:
+                runs[-1] = (runs[-1][0] + "\n" + s, runs[-1][1] + words)
+            else:
+                runs.append((s, words))
+            open_ = True
             kept += len(s)
-        elif len(words) != 1 and len(words) != 2:
-            lost += len(s)
-    return [w.lower() for w in out] if kept >= lost else []
+        else:
+            open_ = False
+            if len(words) != 1 and len(words) != 2:
+                lost += len(s)
+    return runs, kept >= lost
 
 
 def word_bucket(word: str) -> int:

@@ -284,6 +284,18 @@ def test_prose_is_told_from_code():
     assert reading.prose_words(None) == reading.prose_words("  \n") == []
 
 
+def test_prose_beside_long_code_and_after_labels():
+    code = "".join(f"    total_{i} = rows[{i}].get('x') + {i};\n" for i in range(60))
+    note = "The gate opens before the tide turns.\nIt stays open until the last barge\nhas left the basin.\n"
+    words = "the gate opens before the tide turns it stays open until the last barge has left the basin".split()
+    for text in (note + "\n" + code, code + "\n" + note, note + "\n" + code.replace("    ", "")):
+        assert reading.prose_words(text) == words
+    talk = "Q: Why does the gate open early?\nAnna: The tide turns before the crew arrives.\nDecision: We keep the early hour for now.\n"
+    assert reading.prose_words(talk) == "why does the gate open early the tide turns before the crew arrives we keep the early hour for now".split()
+    assert reading.prose_words("name: the outer gate\nkind: a b c d\n" * 5) == []
+    assert reading.prose_words("/**\n * The summary here is read by people.\n */\npublic class A {\n" + "    int a = b.c;\n" * 9 + "}\ncreate table tide_level (\n") == []
+
+
 def test_levels_without_ratings_are_null(spark):
     docs = spark.createDataFrame([(1, "The dock opens early today."), (2, None)], "doc_id bigint, text string")
     rows = reading.levels(docs, spark.createDataFrame([], "doc_id bigint, reading_level int, rater string")).collect()
