@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -157,20 +158,23 @@ def membership(groups: DataFrame) -> DataFrame:
     return groups.groupBy("repo", F.col("path").alias("file")).agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): strict reachability over `edges` (src, dst), with the least number of steps; cycles are fine.
 
-    Only pairs found in the last round are extended. Lineage is cut in each round; rounds end when no pair is new.
+    Only pairs found in the last round are extended. Lineage is cut in each round; rounds end when no pair is new, however
+    long the paths are.
     """
-    base = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    known = cut(base.withColumn("depth", F.lit(1)))
+    known = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    base = known.select("src", "dst")
     fresh = known
-    for depth in range(2, most + 1):
+    for depth in count(2):
         step = fresh.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         fresh = cut(step.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
+        if depth % 16 == 0:
+            known = cut(known)
     return known
 
 

@@ -95,6 +95,15 @@ def test_closure_with_cycles(spark):
     assert set(got) == want and got["a", "d"] == 3 and got["d", "d"] == 1
 
 
+def test_closure_of_a_long_chain(spark):
+    n = 66
+    reach = graph.closure(spark.createDataFrame([(i, i + 1) for i in range(n)], "src bigint, dst bigint").coalesce(1))
+    got = {(r.src, r.dst): r.depth for r in reach.collect()}
+    assert got == {(i, j): j - i for i in range(n + 1) for j in range(i + 1, n + 1)}
+    cand = spark.createDataFrame([(1, 0), (1, n)], "id bigint, type bigint")
+    assert {tuple(r) for r in graph.most_specific(cand, reach).select("id", "type").collect()} == {(1, 0)}
+
+
 def test_most_specific_keeps_unrelated_types(spark):
     reach = graph.closure(spark.createDataFrame([("Jpa", "Crud"), ("Crud", "Root"), ("Mongo", "Root")], "src string, dst string"))
     cand = spark.createDataFrame([(1, "Jpa"), (1, "Crud"), (1, "Root"), (1, "Mongo"), (2, "Root")], "id int, type string")
