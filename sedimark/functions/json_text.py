@@ -41,4 +41,5 @@ def canonical(value) -> str:
 
 
 def digest(values: list) -> str:
-    return hashlib.md5(canonical(values).encode("utf-8", "surrogatepass")).hexdigest()
+    """96 bits of a hash of the values."""
+    return hashlib.blake2b(canonical(values).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,16 @@ SNAPSHOT_TABLES = {"file_signatures": (["path"], ["sha256"]), "cite_snapshots":
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Changed records of both snapshot tables."""
-    out = []
-    for name, (key, values) in SNAPSHOT_TABLES.items():
+    """Changed records of both snapshot tables, whose deliveries are taken side by side."""
+
+    def one(name: str) -> DataFrame:
+        key, values = SNAPSHOT_TABLES[name]
         found = snapshots.changes(table(spark, d, name), ["repo"], key, values)
-        out.append(found.select(F.lit(name).alias("tbl"), "snapshot_no", "repo", F.col(key[0]).alias("rec_key"), "change_kind"))
-    return out[0].unionByName(out[1])
+        return found.select(F.lit(name).alias("tbl"), "snapshot_no", "repo", F.col(key[0]).alias("rec_key"), "change_kind")
+
+    with ThreadPoolExecutor(len(SNAPSHOT_TABLES)) as pool:
+        a, b = pool.map(one, SNAPSHOT_TABLES)
+    return a.unionByName(b)
 
 
 def p6_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +75,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The flat tables with their numbers of rows."""
-    return nested.table_counts(nested.nodes(table(spark, d, "artifacts"), fields=False))
+    """The flat tables, stored one for each schema path, with their numbers of rows."""
+    return nested.table_counts(nested.tables(nested.nodes(table(spark, d, "artifacts"))))
+
+
+def p7_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the flat tables."""
+    return nested.columns(nested.nodes(table(spark, d, "artifacts")))
 
 
 def p7_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +91,7 @@ def p7_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_report": p2_report, "p2_table": p2_table, "p7_found": p7_found, "p7_tables": p7_tables, "p7_evidence": p7_evidence,
+    "p2_found": p2_found, "p2_report": p2_report, "p2_table": p2_table, "p7_found": p7_found, "p7_tables": p7_tables, "p7_columns": p7_columns, "p7_evidence": p7_evidence,
     "p6_found": p6_found, "p6_changes": p6_changes,
 }
 SQL = {

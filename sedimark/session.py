@@ -59,17 +59,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """As `cut`, for rows with texts: a compressed Parquet table in the shared folder, which `sweep` removes, at the latest when the process ends."""
     spark = df.sparkSession
     if not _STAGED:
         atexit.register(_leave, spark)
     path = f"{shared_dir(spark)}/sedimark-{uuid.uuid4().hex}"
     _STAGED.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: list[str]) -> DataFrame:
+    """`df` as a table in the shared folder in as many buckets of `by` as a shuffle has partitions: a later join or aggregation by the
+    same columns reads each bucket in place. Rows are written by the tasks that hold them: one file a bucket if they already lie by `by`."""
+    spark = df.sparkSession
+    if not _STAGED:
+        atexit.register(_leave, spark)
+    name = f"sedimark_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _STAGED.append(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+#: Most rows of a table that is sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether `df` has at most BROADCAST_ROWS rows; it is counted."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcasting if it is small, else as it is: the join then shuffles."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 _STAGED: list[str] = []
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sedimark.functions.ordered import carry_last, ordered_index
 from sedimark.operators import nested, schema_drift, snapshots
-from sedimark.session import cut
 
 DAY = datetime(2026, 1, 1)
 
@@ -61,16 +60,31 @@ def test_changes_match_brute_force(spark, seed):
     assert got == _expected(rows)
 
 
-def test_advance_folds_to_the_same_changes(spark):
+def test_advance_swaps_the_index(spark):
     rows = _snapshots(3)
     df = spark.createDataFrame(rows, SCHEMA)
-    index = snapshots.snapshot_index(df.limit(0), ["repo"], ["path"], ["sha256"]).drop("snap")
-    got = set()
+    index, got, scope, key = None, set(), ["repo"], ["path"]
     for snap in range(1, 6):
-        found, index = snapshots.advance(index, df.where(F.col("snapshot_no") == snap), ["repo"], ["path"], ["sha256"])
-        got |= {(r.repo, r.path, snap, r.change_kind) for r in found.collect()}
-        index = cut(index)
+        step = snapshots.advance(index, df.where(F.col("snapshot_no") == snap), scope, key, ["sha256"])
+        got |= {(r.repo, r.path, snap, r.change_kind) for r in snapshots.changed(step, scope, key).collect()}
+        index = snapshots.entries(step)
     assert got == _expected(rows)
+    assert {(r.repo, r.path) for r in index.collect()} == {(r, k) for s, r, k, _, _ in rows if s == 5}
+
+
+def test_index_is_read_where_it_lies(spark):
+    df = spark.createDataFrame(_snapshots(1), SCHEMA)
+    first = snapshots.advance(None, df.where("snapshot_no = 1"), ["repo"], ["path"], ["sha256"])
+    plan = snapshots.entries(first).join(snapshots.snapshot_index(df.where("snapshot_no = 2"), ["repo"], ["path"], ["sha256"]), snapshots.KEY, "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # only the delivery is shuffled
+
+
+def test_ties_give_the_same_row_in_index_and_values(spark):
+    rows = [(n, "r", k, v, DAY) for k in "abcdefgh" for n in (1, 2) for v in ("x", "y", "z")] + [(2, "r", "i", "x", DAY), (1, "r", "i", "y", DAY)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    args = (["repo"], ["path"], ["sha256"])
+    got = snapshots.with_values(snapshots.changes(df, *args), df, *args).collect()
+    assert [(r.path, r.old.sha256, r.new.sha256) for r in got] == [("i", "y", "x")]
 
 
 def _artifact(i, stream, minute, payload):
@@ -99,12 +113,79 @@ def test_drift_kinds(spark):
     }
 
 
+def test_every_field_of_one_digest_finds_its_partner(spark):
+    rows = [_artifact(1, "s", 0, {"flag_a": True, "flag_b": True, "flag_c": True, "k": 1}), _artifact(2, "s", 1, {"flagA": True, "flagB": True, "is_c": True, "k": 1})]
+    got = {(r.field_path, r.old_path) for r in schema_drift.drift(spark.createDataFrame(rows, A_SCHEMA)).where("change_kind = 'renamed'").collect()}
+    assert got == {("flagA", "flag_a"), ("flagB", "flag_b"), ("is_c", "flag_c")}
+
+
+def _plain_drift(rows):
+    """Changes of top-level fields by one plain loop."""
+    out, state = set(), {}
+    for i, stream, _, _, at, _, text in sorted(rows, key=lambda r: (r[4], r[0])):
+        doc = json.loads(text)
+        before, known = state.setdefault(stream, (None, {}))
+        kind = lambda v: type(v).__name__
+        if before is not None:
+            added, removed = sorted(set(doc) - set(before)), sorted(set(before) - set(doc))
+            for a in list(added):
+                for r in removed:
+                    if json.dumps(doc[a]) == json.dumps(before[r]):
+                        out.add((i, a, "renamed"))
+                        added.remove(a)
+                        removed.remove(r)
+                        break
+            out |= {(i, a, "added") for a in added} | {(i, r, "removed") for r in removed}
+            out |= {(i, k, "retyped") for k in doc if k in before and doc[k] is not None and k in known and known[k] != kind(doc[k])}
+        known.update({k: kind(v) for k, v in doc.items() if v is not None})
+        state[stream] = (doc, known)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_drift_over_many_ranges_matches_a_plain_loop(spark, seed):
+    rng, rows, doc = random.Random(seed), [], {}
+    for i in range(240):
+        stream = "hot" if rng.random() < 0.8 else rng.choice(["a", None])
+        doc = dict(doc)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.choice("pqrstu")
+            doc[k] = rng.choice([None, f"v{i}{k}", rng.randrange(10**6), {"x": rng.random()}])
+        if doc and rng.random() < 0.3:
+            k = rng.choice(sorted(doc))
+            v = doc.pop(k)
+            if rng.random() < 0.5 and v is not None:
+                doc[f"n{i}"] = v
+        rows.append(_artifact(i, stream, i // 2, doc))
+    assert {tuple(r) for r in schema_drift.drift(spark.createDataFrame(rows, A_SCHEMA).repartition(5)).select("artifact_id", "field_path", "change_kind").collect()} == _plain_drift(rows)
+
+
 def test_one_table_with_failed_casts(spark):
-    rows = [_artifact(1, "s", 0, {"schema_version": 3, "repo_path": "/r", "new": 1}), _artifact(2, "s", 1, {"schemaVersion": 3, "repo_path": {"at": "/r"}, "new": 1})]
-    got = {r.artifact_id: r for r in schema_drift.consistent_table(spark.createDataFrame(rows, A_SCHEMA)).collect()}
-    assert got[1].schema_version == 3 and got[2].schema_version == 3
-    assert got[1].failed_casts == [] and got[2].failed_casts == ["repo_path"] and got[2].repo_path is None
-    assert got[2].others["repo_path"] == '{"at":"/r"}' and got[1].others == {"new": "1"}
+    rows = [
+        _artifact(1, "s", 0, {"version": 3, "repo": "/r", "new": 1, "gates": [{"id": "a", "ok": True, "checks": []}], "tags": ["x"]}),
+        _artifact(2, "s", 1, {"schemaVersion": 3, "repo": {"at": "/r"}, "new": "7", "gates": {"id": "b", "is_ok": True, "checks": [{"n": 1}, 5]}, "tags": "x"}),
+        _artifact(3, "s", 2, {"schemaVersion": 3, "repo": "/q", "gates": [{"id": "c", "ok": "no"}, None], "tags": ["y", 4]}),
+        _artifact(4, "t", 0, {"schemaVersion": "four", "repo": "/t", "gates": [{"id": "d", "is_ok": True}]}),
+        _artifact(5, "t", 1, None), _artifact(6, "t", 2, "{"),
+    ]
+    table = schema_drift.consistent_table(spark.createDataFrame(rows, A_SCHEMA))
+    got = {r.artifact_id: r.asDict(True) for r in table.collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1]["version"] == got[2]["version"] == got[3]["version"] == 3  # renamed in stream s only
+    assert got[4]["version"] is None and got[4]["schemaVersion"] == "four"
+    assert got[2]["repo"] is None and json.loads(got[2]["others"]["repo"]) == {"at": "/r"} and got[2]["new"] == "7"
+    assert got[2]["gates"] == [{"id": "b", "ok": True, "is_ok": None, "checks": [{"n": 1}, None]}] and got[1]["gates"][0]["checks"] == []
+    assert got[3]["gates"] == [{"id": "c", "ok": None, "is_ok": None, "checks": None}, None] and got[4]["gates"][0]["is_ok"] is True
+    assert got[3]["tags"] == ["y", "4"] and got[2]["tags"] is None
+    assert [got[i]["failed_casts"] for i in (1, 2, 3, 4)] == [[], ["gates[].checks[]", "repo", "tags"], ["gates[].ok"], []]
+    few = schema_drift.consistent_table(spark.createDataFrame(rows, A_SCHEMA), max_columns=2)
+    assert {len(r.others) + sum(v is not None for c, v in r.asDict().items() if c not in ("artifact_id", "stream_id", "produced_at", "others", "failed_casts")) for r in few.where("artifact_id = 1").collect()} == {5}
+
+
+def test_renames_chain_without_bound(spark):
+    rows = [_artifact(i, "s", i, {f"name{i}": "v"}) for i in range(40)] + [_artifact(40 + i, "s", 40 + i, {"name39": "v" if i % 2 else "w"}) for i in range(4)]
+    got = schema_drift.consistent_table(spark.createDataFrame(rows, A_SCHEMA)).collect()
+    assert {r.name0 for r in got} == {"v", "w"} and all(r.others == {} for r in got)
 
 
 def _walk(v, path, parent, out):
