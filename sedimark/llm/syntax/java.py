@@ -31,6 +31,33 @@ _DANGLING = _INFIX | frozenset("+ - . :: ! ~ &".split())
 #: After these an expression stands, where two names can't follow each other.
 _EXPRESSION = (_INFIX - {"instanceof"}) | frozenset("+ - ! ~ -> return throw new".split())
 _CLOSER = {")": "(", "]": "[", "}": "{"}
+_PRIMITIVE = frozenset("boolean byte char short int long float double void".split())
+#: What must follow a word: heads of statements open a parenthesis, a primitive type is no expression, and so on.
+_HEADS = frozenset("if while for switch catch".split())
+_STATEMENT = frozenset("if else for while do case return throw break continue try catch finally assert".split())
+_AFTER_PRIMITIVE = frozenset("[ . ) ... @ > >> >>> , & ::".split())
+_NAMED_NEXT = frozenset("extends implements throws instanceof new".split())
+
+
+def _follows(k1: str, v1: str, v0: str, kind: str, v: str) -> bool:
+    """Whether a token may follow the word before it."""
+    if k1 not in ("word", "op") or v0 in (".", "::"):
+        return True
+    if v1 in _HEADS:
+        return v == "("
+    if v1 in _PRIMITIVE:
+        return kind == "name" or v in _AFTER_PRIMITIVE
+    if v1 in _NAMED_NEXT:
+        return kind == "name" or v in ("@", "final") or v in _PRIMITIVE or (v1 == "new" and v == "<")
+    if v1 in ("class", "interface", "enum"):
+        return kind == "name"
+    if v1 in ("break", "continue"):
+        return kind == "name" or v == ";"
+    if v1 in ("throw", "assert"):
+        return v not in (";", "}", ")", "]") and v not in _STATEMENT
+    if v1 == "return":
+        return v not in ("}", ")", "]") and v not in _STATEMENT
+    return True
 
 
 def _tokens(text: str):
@@ -64,7 +91,7 @@ def _head(head: list[tuple[str, str]], opens: bool) -> bool:
             if body[-2:] == [".", "*"]:
                 body = body[:-2]
         else:
-            return words[:2] == ["module", "x"]
+            return False
         return len(body) % 2 == 1 and all((x == ".") if i % 2 else (x.isidentifier() or "$" in x) and x not in KEYWORDS for i, x in enumerate(body))
     i = 0
     while i < len(words):
@@ -87,6 +114,10 @@ def _head(head: list[tuple[str, str]], opens: bool) -> bool:
 
 def scan(text: str) -> None:
     stack: list[tuple[str, str]] = []  # bracket, what it is
+    owners: list[str] = []  # the word before each open bracket
+    closed = ""  # the word before the parenthesis that was closed last
+    ifs: list[int] = []  # in each brace: ifs that no else has taken
+    due = False  # a catch or finally must follow
     head: list[tuple[str, str]] = []  # tokens of the current top-level declaration, without what is inside brackets
     k0 = v0 = k1 = v1 = ""  # the two tokens before
     depth_kind = ""
@@ -94,10 +125,24 @@ def scan(text: str) -> None:
     for kind, v, at in _tokens(text):
         if kind == "name" and v in KEYWORDS:
             kind = "op" if v == "instanceof" else "word"
+        if kind == "name" and (v1 == "@" or v1 == "." and k0 == "note"):
+            kind = "note"  # the name of an annotation
         if v == "enum" and kind == "word":
             enums = True
         elif v == ";":
             enums = False
+        if not _follows(k1, v1, v0, kind, v) or (due and v not in ("catch", "finally")):
+            raise fault(text, at, "unexpected token")
+        due = False
+        if kind == "word" and v1 != ".":
+            if v == "if" and ifs:
+                ifs[-1] += 1
+            elif v == "else":
+                if v1 not in (";", "}") or not ifs or not ifs[-1]:
+                    raise fault(text, at, "unexpected token")
+                ifs[-1] -= 1
+            elif v in ("catch", "finally") and v1 != "}" or v == "case" and depth_kind != "switch":
+                raise fault(text, at, "unexpected token")
         operand = kind in ("name", "lit")
         if operand and k1 == "lit":
             raise fault(text, at, "unexpected token")
@@ -105,7 +150,7 @@ def scan(text: str) -> None:
             raise fault(text, at, "unexpected token")
         if kind == "name" and k1 == k0 == "name" and not {v, v1, v0} & _CONTEXTUAL:
             raise fault(text, at, "unexpected token")
-        if kind == k1 == "name" and v0 in _EXPRESSION and not {v, v1} & _CONTEXTUAL:
+        if kind == k1 == "name" and v0 in _EXPRESSION and not {v, v1} & _CONTEXTUAL and not (v0 == "|" and owners and owners[-1] == "catch"):
             raise fault(text, at, "unexpected token")
         if kind == "op":
             if v in _INFIX and (v1 in _OPENING or v1 in ("}", ":") or (v1 == ")" and v == "<<")):
@@ -114,7 +159,7 @@ def scan(text: str) -> None:
                 raise fault(text, at, "unexpected token")
             if v in ("*", "<", "&") and (v1 in (";", "{", "}", "(", "") or v1 in _INFIX) and not (v == "<" and v1 in (";", "{", "}")):
                 raise fault(text, at, "unexpected token")
-            if v in (")", "]", ";", "}") and (v1 in _DANGLING or (v1 == "," and v in ")]") or (v1 == "," and v == ";" and depth_kind not in ("body", "enum")) or (v1 == "*" and v != ";")):
+            if v in (")", "]", ";", "}") and (v1 in _DANGLING or (v1 == "," and v in ")]") or (v1 == "," and v == ";" and depth_kind not in ("body", "switch", "enum")) or (v1 == "*" and v != ";")):
                 raise fault(text, at, "unexpected token")
         if v in ("(", "[", "{") and kind == "op":
             what = ""
@@ -128,14 +173,25 @@ def scan(text: str) -> None:
                 elif v1 in ("=", "]", ",", "(") or (v1 == "{" and depth_kind == "init"):
                     what = "init"
                 else:
-                    what = "enum" if enums else "body"
+                    what = "enum" if enums else "switch" if v1 == ")" and closed == "switch" else "body"
                 enums = False
+                ifs.append(0)
             stack.append((v, what))
+            owners.append(v1)
             depth_kind = what
         elif v in _CLOSER and kind == "op":
             if not stack or stack[-1][0] != _CLOSER[v]:
                 raise fault(text, at, "unbalanced delimiter")
-            if v == "}" and depth_kind == "body" and (k1 in ("lit", "name") or v1 in (")", "]", "this", "super", "true", "false", "null")):
+            owner = owners[-1]
+            if v == "}":
+                ifs.pop()
+                due = owner == "try"
+            elif v == ")":
+                closed = owner
+                if v1 == "(" and owner in ("if", "while", "switch", "catch", "synchronized", "for"):
+                    raise fault(text, at, "unexpected token")
+            owners.pop()
+            if v == "}" and depth_kind in ("body", "switch") and (k1 in ("lit", "name") or v1 in (")", "]", "this", "super", "true", "false", "null")):
                 raise fault(text, at, "unexpected token")
             stack.pop()
             depth_kind = stack[-1][1] if stack else ""
@@ -151,5 +207,5 @@ def scan(text: str) -> None:
         elif not stack:
             head.append((kind, v))
         k0, v0, k1, v1 = k1, v1, kind, v
-    if stack or head:
+    if stack or head or due:
         raise Bad("premature end")

@@ -26,6 +26,8 @@ HEADS = frozenset("if for while switch with catch".split())
 BLOCKS = frozenset("else do try finally".split())
 DECLARES = frozenset("var let const".split())
 RESERVED = OPERAND | (NEEDS - {"extends"}) | HEADS | BLOCKS | frozenset("return case break continue debugger default var const function class extends import export enum".split())
+#: What follows let where it declares: a name or a pattern.
+_BINDS = re.compile(r"\s*(?:[\[{]|(?!(?:in|instanceof|of)\b)[\w$])")
 _SOFT = frozenset("async static get set of let".split())
 _BINARY = frozenset("=> >>>= **= <<= >>= &&= ||= ??= === !== >>> ** << >> && || ?? == != <= >= += -= *= /= %= &= |= ^= = < > * / % & | ^ + - ? . ?. ,".split())
 _PREFIX = frozenset("+ - ! ~ ++ -- ...".split())
@@ -75,6 +77,7 @@ def scan(text: str) -> None:
             raise fault(text, pos, "unterminated literal" if text[pos] in "\"'" else "unexpected token")
         kind, v = m.lastgroup, m.group()
         pos = m.end()
+        declares = v in DECLARES and not (v == "let" and (state == "O" or prev in (".", "?.") or not _BINDS.match(text, pos)))
         if v != "(" and before == "function" and prev not in ("(", "*"):
             raise fault(text, at, "unexpected token")
         if v == "return" and kind == "name" and len(frames) == 1 and not property_next(prev):
@@ -84,8 +87,8 @@ def scan(text: str) -> None:
                 raise fault(text, at, "unexpected token")
         if v != "await":
             head_due = ""
-        property_name = prev in (".", "?.") or (f.what in ("object", "class") and kind == "name" and (prev in (",", "{", ";", "}", "*") or prev in _SOFT or line))
-        if kind == "tick" or kind == "str" or kind == "num" or (kind == "name" and (v in OPERAND or v not in RESERVED or property_name)):
+        property_name = prev in (".", "?.") or (f.what in ("object", "class") and kind == "name" and (prev in (",", "{", ";", "}", "*") or prev in _SOFT or (line and f.what == "class")))
+        if kind == "tick" or kind == "str" or kind == "num" or (kind == "name" and (v in OPERAND or v not in RESERVED or property_name) and not (v == "let" and declares and not property_name)):
             is_word = kind == "name"
             if state == "O":
                 tagged = kind == "tick" and prev not in ("]str",)
@@ -113,7 +116,7 @@ def scan(text: str) -> None:
                 state = "R"
             else:
                 state = "O"
-            before, prev, tokens_in = prev, ("]str" if kind in ("str", "num") else v), tokens_in + 1
+            before, prev, tokens_in = prev, ("]str" if kind in ("str", "num") else "name" if prev_dot(prev) else v), tokens_in + 1
             continue
         if kind == "name":
             if v in ("in", "instanceof"):
@@ -139,6 +142,8 @@ def scan(text: str) -> None:
                 elif v in DECLARES or v in NEEDS or v == "class":
                     state = "E" if v != "class" else "R"
                 elif v == "function":
+                    if statement == "function" and tokens_in == 0 and before_statement(state) and text[pos:].lstrip()[:1] == "(":
+                        raise fault(text, at, "unexpected token")
                     state = "R"
                 elif v == "import":
                     state = "O"
@@ -205,6 +210,8 @@ def scan(text: str) -> None:
                 statement, tokens_in = "", 0
             continue
         if v == ";":
+            if statement == "const" and tokens_in == 2 and before == "const":
+                raise fault(text, at, "unexpected token")
             if f.what in ("bracket", "object", "template") or (f.what == "paren" and f.before != "for"):
                 raise fault(text, at, "unexpected token")
             if state == "E" and prev not in (";",) and tokens_in and not (f.before == "for"):
@@ -271,6 +278,11 @@ def scan(text: str) -> None:
         raise Bad("premature end")
 
 
+def before_statement(state: str) -> bool:
+    """Whether a statement begins here, where a function must have a name."""
+    return state in ("S", "A")
+
+
 def prev_dot(token: str) -> bool:
     return token in (".", "?.")
 
