@@ -1,9 +1,9 @@
 """Files that nobody wrote by hand for the repo: generated, minified, third-party copies, data kept as code.
 
-Path rules cover build and vendor directories, lock files, minified suffixes and versioned names. Comments at a file's head and
-foot, strings left out, run through one automaton of notice phrases: a notice that only generators write suffices, vaguer ones
-must meet. Licence phrases with the name of another party mark copies. What carries no notice is told by its shape: machine
-members, lines without spaces, bodies that are almost all literals.
+Path rules cover build and vendor directories, lock files, minified suffixes and versioned names. The comments before a file's
+first code, however many, and after its last, strings left out, run through one automaton of notice phrases: a notice that only
+generators write suffices, vaguer ones must meet. Licence phrases with the name of another party mark copies. What carries no
+notice is told by its shape: machine members, scripts of short names without blanks, bodies that are almost all literals.
 """
 
 from __future__ import annotations
@@ -30,19 +30,23 @@ NOTICES = (
     "est produit par", "generado automáticamente", "generado por", "no editar", "no modificar", "@generated signedsource", "was automatically produced", "do not edit by hand",
     "do not edit manually", "not to be edited", "do not edit this file", "do not modify this file",
 )
-#: Phrases of which two must meet.
-HINTS = (
+#: Phrases of how a file came about, of which two must meet, or one and a phrase that names a tool or its input.
+MADE = (
     "generated by", "generated from", "generated on", "generated with", "produced by", "emitted by", "compiled from", "created by the", "derived from", "written by", "do not edit",
-    "do not modify", "do not change", "do not touch", "source:", "compiler", "generator", "tool build", "interface file", "end of output", "stub", ".idl", ".proto", ".xsd", ".wsdl",
+    "do not modify", "do not change", "do not touch",
 )
+TOOLS = ("source:", "compiler", "generator", "tool build", "interface file", "end of output", "stub", ".idl", ".proto", ".xsd", ".wsdl")
 #: Phrases of licences.
 LICENCES = (
     "licensed under", "released under", "apache license", "mit license", "mit licence", "bsd license", "gnu general public", "lesser general public", "mozilla public license",
     "@license", "@licence", "permission is hereby granted", "spdx-license-identifier", "see license", "see licence", "under the terms of", "isc license",
 )
 #: Directories of copies and of build results, and file names of lock files.
-VENDOR_DIRS = frozenset("vendor vendors third_party third-party thirdparty 3rdparty external externals node_modules bower_components jspm_packages godeps".split())
-BUILD_DIRS = frozenset("generated generated-sources generated-src generated_src generated-test-sources gen __generated__ autogen codegen-out".split())
+VENDOR_DIRS = frozenset("vendor vendors third_party third-party thirdparty 3rdparty node_modules bower_components jspm_packages godeps".split())
+BUILD_DIRS = frozenset("generated generated-sources generated-src generated_src generated-test-sources __generated__ autogen codegen-out".split())
+#: Names that say so only in their place: below a source set or build directory; above another project's directory.
+GEN_ABOVE = frozenset("src main test build target out".split())
+EXTERNAL = frozenset("external externals".split())
 LOCK_FILES = frozenset(
     "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml pnpm-lock.yml bun.lock bun.lockb composer.lock gemfile.lock cargo.lock poetry.lock pipfile.lock uv.lock pdm.lock "
     "go.sum gradle.lockfile buildscript-gradle.lockfile packages.lock.json podfile.lock mix.lock pubspec.lock flake.lock conda-lock.yml deno.lock".split()
@@ -50,10 +54,9 @@ LOCK_FILES = frozenset(
 CODE = frozenset("java py js ts jsx tsx mjs cjs kt scala go rs c h cc cpp cs php rb".split())
 SCRIPT = frozenset("js mjs cjs css".split())
 
-#: Lines at the head and foot whose comments may hold a notice.
-HEAD_LINES, FOOT_LINES = 40, 6
-#: A script is minified if it has a line of so many characters and so small a share of blanks.
-LONG_LINE, BLANK_SHARE = 400, 0.12
+#: A script is minified if at most so small a share of it is blank and it has a line of so many characters, or if so many names, its
+#: keywords aside, are of one or two letters and no line is indented. Shorter scripts than so many characters are not judged.
+BLANK_SHARE, LONG_LINE, SHORT_NAMES, LEAST_SCRIPT = 0.12, 400, 0.6, 200
 #: Code is data if so many characters of literals make up this share of it, separators included.
 DATA_CHARS, DATA_SHARE = 1_000, 0.9
 
@@ -74,11 +77,16 @@ _NAMED = re.compile(r"@licen[sc]e\s+([\w.-]+)|^\W*([\w.-]+)\s+v?\d+\.\d+\.\d+",
 _FILLER = frozenset("the and its all rights reserved authors author team inc ltd llc gmbh corp corporation company foundation project contributors inside released under licence license mit see".split())
 
 
+#: What may stand before a file's first code: package and import clauses, declarations of the file's kind.
+_PREAMBLE = re.compile(r"(?m)^\s*(?:(?:package|import|using|from)\b|#include|#pragma|#!|---|<\?xml|<!DOCTYPE)[^\n]*|^[\s;]+|[\s;]+\Z", re.I)
+_STRICT = re.compile(r"[\"']use strict[\"']\Z")
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     """One automaton of all phrases; values are the phrase's class and number."""
     made = ahocorasick.Automaton()
-    for cls, phrases in (("notice", NOTICES), ("hint", HINTS), ("licence", LICENCES)):
+    for cls, phrases in (("notice", NOTICES), ("made", MADE), ("tool", TOOLS), ("licence", LICENCES)):
         for p in phrases:
             made.add_word(p, (cls, p))
     made.make_automaton()
@@ -86,42 +94,40 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def comments(text: str, ext: str) -> tuple[str, str]:
-    """(comments, text without comments and strings) of source text in the style of an extension."""
-    kept: list[str] = []
-
-    def drop(m: re.Match[str]) -> str:
-        if "c" in m.re.groupindex and m["c"] is not None:
-            kept.append(m["c"])
-            return "\n"
-        if "d" in m.re.groupindex and m["d"] is not None and not text[: m.start()].strip():
-            kept.append(m["d"])
-        return '""'
-
-    rest = _STYLE.get(ext, _SLASH).sub(drop, text)
-    return "\n".join(kept), rest
-
-
-def _edges(text: str) -> str:
-    """The head and the foot of a text."""
-    lines = text.split("\n")
-    if len(lines) <= HEAD_LINES + FOOT_LINES:
-        return text
-    return "\n".join([*lines[:HEAD_LINES], "", *lines[-FOOT_LINES:]])
+    """(comments before the first code and after the last, text without comments and strings) of source text in the style of an
+    extension. Package and import clauses are no code here."""
+    head: list[str] = []
+    foot: list[str] = []
+    bare: list[str] = []
+    code, at = False, 0
+    for m in _STYLE.get(ext, _SLASH).finditer(text):
+        gap, at = text[at : m.start()], m.end()
+        bare.append(gap)
+        if gap.strip() and _PREAMBLE.sub("", gap):
+            code, foot = True, []
+        groups = m.groupdict()
+        if groups.get("c") is not None:
+            (foot if code else head).append(m["c"])
+            bare.append("\n")
+            continue
+        if groups.get("d") is not None and not text[: m.start()].strip():
+            head.append(m["d"])
+        elif not _STRICT.match(m.group()):
+            code, foot = True, []
+        bare.append('""')
+    rest = text[at:]
+    if rest.strip():
+        foot = []
+    return "\n".join(head + foot), "".join([*bare, rest])
 
 
 def noticed(said: str) -> tuple[bool, bool]:
     """(a generator's notice, a licence) in comments."""
     flat = " ".join(re.sub(r"[\s*#/]+", " ", said).casefold().split())
-    hints: set[str] = set()
-    generated = licensed = False
+    found: dict[str, set[str]] = {"notice": set(), "made": set(), "tool": set(), "licence": set()}
     for _, (cls, phrase) in automaton().iter(flat):
-        if cls == "notice":
-            generated = True
-        elif cls == "licence":
-            licensed = True
-        else:
-            hints.add(phrase)
-    return generated or len(hints) >= 2, licensed
+        found[cls].add(phrase)
+    return bool(found["notice"]) or len(found["made"]) >= 2 or bool(found["made"] and found["tool"]), bool(found["licence"])
 
 
 def _foreign(said: str, path: str) -> bool:
@@ -154,9 +160,9 @@ def classify(rel_path: str | None, full_path: str | None, text: str | None) -> t
     ext = name.rsplit(".", 1)[-1] if "." in name else ""
     if name in LOCK_FILES:
         return "generated", "lock file"
-    if any(d in VENDOR_DIRS for d in dirs):
+    if any(d in VENDOR_DIRS or (d in EXTERNAL and "src" not in dirs and i + 1 < len(dirs)) for i, d in enumerate(dirs)):
         return "third_party", "vendor directory"
-    if any(d in BUILD_DIRS for d in dirs):
+    if any(d in BUILD_DIRS or (d == "gen" and i and dirs[i - 1] in GEN_ABOVE) for i, d in enumerate(dirs)):
         return "generated", "build directory"
     if _MINIFIED.search(name):
         return "minified", "suffix"
@@ -165,7 +171,7 @@ def classify(rel_path: str | None, full_path: str | None, text: str | None) -> t
     if not text or not text.strip():
         return ("third_party", "versioned name") if _VERSIONED.match(name) else None
     text = text.replace("\r\n", "\n")
-    said = comments(_edges(text), ext)[0]
+    said, bare = comments(text, ext)
     generated, licensed = noticed(said)
     if generated:
         return "generated", "notice"
@@ -174,15 +180,34 @@ def classify(rel_path: str | None, full_path: str | None, text: str | None) -> t
     if _VERSIONED.match(name):
         return "third_party", "versioned name"
     if ext in CODE:
-        bare = comments(text, ext)[1]
         if _ANNOTATED.search(bare):
             return "generated", "annotation"
         if sum(bool(p.search(bare)) for p in _MACHINE) >= 2:
             return "generated", "machine members"
         if _is_data(text):
             return "data", "literals"
-    if ext in SCRIPT and max(map(len, text.split("\n"))) >= LONG_LINE and sum(map(text.count, " \n\t")) <= BLANK_SHARE * len(text):
-        return "minified", "long lines"
+    if ext in SCRIPT and (why := _is_minified(text, bare)):
+        return "minified", why
+    return None
+
+
+_NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_KEYWORDS = frozenset(
+    "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new null of return super switch this throw true "
+    "false try typeof undefined var void while with yield async await".split()
+)
+
+
+def _is_minified(text: str, bare: str) -> str | None:
+    """Why a script is minified, or None."""
+    if sum(map(text.count, " \n\t")) > BLANK_SHARE * len(text):
+        return None
+    lines = text.split("\n")
+    if max(map(len, lines)) >= LONG_LINE:
+        return "long lines"
+    names = [n for n in _NAME.findall(re.sub(r"\.\s*[\w$]+", "", bare)) if n not in _KEYWORDS]
+    if len(text) >= LEAST_SCRIPT and names and sum(len(n) <= 2 for n in names) >= SHORT_NAMES * len(names) and not any(x.startswith(("  ", "\t")) for x in lines):
+        return "short names"
     return None
 
 
@@ -200,7 +225,7 @@ def sorted_out(files: DataFrame) -> DataFrame:
     """(file_id, kind, why): every file that is generated, minified, a third-party copy or data kept as code.
 
     Null, empty and blank contents are judged by their path alone. A file delivered twice gives two rows. Null paths are judged
-    by full_path, else by content. Texts are read whole; notices count at the head and foot.
+    by full_path, else by content. Texts are read whole; notices count before the first code and after the last.
     """
     rows = files.where("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), "rel_path", "full_path", "content")
 
