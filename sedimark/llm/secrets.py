@@ -31,12 +31,14 @@ READING = frozenset("get has is find load read fetch resolve lookup require chec
 #: Stems that occur in every telling name.
 STEM = r"(?:pass(?:word|wd|phrase|code|wort|e)?|pwd|secret|token|auth(?:orization)?|bearer|cred(?:ential)?s?|api[-_.]?key|(?:access|private|secret|signing|encryption|account|auth)[-_.]?key|kennwort|contrasena|clave|pin|seed|sig|signing|signature|session|licen[sc]e|salt|hmac)"
 
+#: Published formats of tokens.
 _FORMATS = (
     r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{12,}"  # signed web tokens
-    r"|\bzk_live_\w{16,}|\bhb\d_\w{24,}|\bfwx-[0-9a-f]{32}\b|\bqp\.[\w-]{16,}\.[\w-]{24,}|\bTNK[A-Z0-9]{17}\b"
     r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_\w{36}|\bgithub_pat_\w{50,}|\bglpat-[\w-]{20}|\bxox[abprs]-[\w-]{20,}"
     r"|\bAIza[\w-]{35}|\b[sr]k_live_\w{20,}|\bSG\.[\w-]{20,}\.[\w-]{40,}|\bnpm_\w{36}|\bhf_\w{30,}"
 )
+#: Formats nobody has published, by rule: a short prefix, a separator, maybe a second word, and a long body, which `random` judges.
+_SHAPED = r"(?<![\w.+/=@-])[A-Za-z][A-Za-z0-9]{1,7}(?:[_-](?:[a-z]{2,8}[_-])?(?=[A-Za-z0-9]{20,})|\.(?=[\w-]{16,}\.[\w-]{24,}))(?P<v>[\w-]{16,}+(?:\.[\w-]{24,}+)?)(?![\w.+/=@-])"
 
 #: name -> (expression, flags). Group v is the value, group s (where present) ends the name to judge.
 EXPRESSIONS: dict[str, tuple[str, int]] = {
@@ -46,6 +48,8 @@ EXPRESSIONS: dict[str, tuple[str, int]] = {
     ),
     "url": (r"[A-Za-z][\w+.-]{1,20}://[^\s:/@\"'<>]*+:(?P<v>[^\s@/\"'<>]{3,}+)@[\w\[]", 0),
     "format": (rf"(?P<v>{_FORMATS})", 0),
+    "shaped": (_SHAPED, 0),
+    "default": (rf"\$\{{[^{{}}\s:\"']*?(?P<s>{STEM}):(?P<v>[^{{}}\s\"']{{4,}}+)\}}", re.I),
     "scheme": (r"\bBasic (?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![\w+/=])", 0),
     "named": (
         rf"(?P<s>{STEM})(?:[\"']?\s*(?:\]\s*)?(?:=>|:=|[:=,])\s*[\"'](?P<v>[^\"'\n]{{4,}}+)[\"']|\(\s*[\"'](?P<call>[^\"'\n]{{4,}}+)[\"']\s*\))", re.I,
@@ -87,6 +91,16 @@ def telling(name: str) -> bool:
     return bool(words) and (words[-1] in TELLING or tuple(words[-2:]) in TELLING_PAIRS or tuple(words[-3:]) == ("mot", "de", "passe")) and words[0] not in READING
 
 
+def random(value: str) -> bool:
+    """Whether letters of both cases and digits alternate in a value as they do in nothing that was made to be read: a change of kind
+    at least every third character, and no character much more often than others."""
+    core = [("d" if c.isdigit() else "u" if c.isupper() else "l", c) for c in value if c.isalnum()]
+    if len({k for k, _ in core}) < 3:
+        return False
+    changes = sum(a != b for (a, _), (b, _) in zip(core, core[1:]))
+    return 3 * changes >= len(core) and 3 * len({c for _, c in core}) >= min(len(core), 48)
+
+
 def plausible(value: str) -> bool:
     """Whether a value in a credential's place can be one."""
     v = value.strip()
@@ -96,7 +110,7 @@ def plausible(value: str) -> bool:
     kinds = any(c.islower() for c in v) + any(c.isupper() for c in v) + any(c.isdigit() for c in v) + any(not c.isalnum() for c in v)
     if kinds < 2 and len(v) < 16:
         return False
-    if _IDENTIFIER.match(v) and len(v) < 40 and (words := _words(v)) and (telling(v) or words[-1] in _NAMING):
+    if _IDENTIFIER.match(v) and len(v) < 40 and not random(v) and (words := _words(v)) and (telling(v) or words[-1] in _NAMING):
         return False
     return True
 
@@ -110,6 +124,8 @@ def _judged(rule: str, text: str, m: re.Match[str], group: str, plain: bool) ->
     v = m[group]
     if rule in ("private_key", "format"):
         return True
+    if rule == "shaped":
+        return random(v) and not _HASH.search(m.group())
     if rule == "url":
         return not (_REFERENCE.search(v) or _PLACEHOLDER.search(v) or v.isdigit())
     if rule == "header":
@@ -145,7 +161,7 @@ def spans(text: str, rules: list[str], plain: bool) -> list[tuple[int, int, str]
             group = _value(m)
             if _judged(rule, text, m, group, plain):
                 end = m.start(group) + len(m[group].rstrip(".,;:)!?\"'")) if rule == "remark" else m.end(group)
-                out.append((m.start(0) if rule == "private_key" else m.start(group), end, rule))
+                out.append((m.start(0) if rule in ("private_key", "shaped") else m.start(group), end, rule))
                 at = m.end()
             else:
                 at = m.end("s") if "s" in m.re.groupindex else m.start(group)
