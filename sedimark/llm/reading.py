@@ -1,11 +1,13 @@
-"""Reading level of prose by naive Bayes over five levels, in place of a Rasch-style latent model.
-
-Documents lie on the scale of the ratings, levels 1 to 5; every word has a difficulty at each level: how much less readily it
-occurs in a document of that level than in documents at large. Documents and words are estimated in turn. Given the words, a
-document's level has a posterior from the difficulties of the words it uses; given the documents, a word's difficulties follow
-from sums over all documents, each weighted by its posterior. Rated documents keep the scale in place, with a weight that
-leaves room for ratings that are off. Words are hashed into a fixed number of buckets, so the item parameters are one array of
-a size that doesn't depend on the corpus; documents never leave their partition.
+"""Reading level of prose by a Rasch-style latent model.
+
+A document has one latent level theta, a word one difficulty b, both on the scale of the ratings: a word that is known at all levels
+has a low difficulty, one that only demanding texts use a high one. Word w makes up a share r_w * sigma(SLOPE * (theta - b_w)) / Z(theta)
+of a document's words, so levels are in order by construction. Documents and words are estimated in turn: given the difficulties, a
+document's level has a posterior over the grid of levels; given the posteriors, each word's difficulty is the most likely one for its
+expected occurrences at each level, which are sums over all documents. Rated documents keep the scale in place, with a weight
+that leaves room for ratings that are off; unrated ones weigh less. Rounds end when the difficulties no longer move. Words are hashed
+into a fixed number of buckets, so the item parameters are two arrays of a size that doesn't depend on the corpus; documents
+never leave their partition.
 """
 
 from __future__ import annotations
@@ -14,23 +16,31 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.session import cut, spread
+from sedimark.session import spread, staged
 
 LEVELS = 5
-BUCKETS = 1 << 16
-ITERATIONS = 3
+#: Buckets of words of all languages.
+BUCKETS = 1 << 18
+#: Steepness of a word's occurrence over the levels, and the difficulties that are tried.
+SLOPE = 3.0
+DIFFICULTIES = np.arange(-0.5, 6.01, 0.125)
+#: Rounds end when difficulties, weighted by their words' occurrences, move by less than this in the mean; after so many in any case.
+MOVED, ROUNDS = 0.01, 12
+#: Weight of an unrated document against a rated one.
+UNRATED = 0.1
 #: Words that count in full towards a document's posterior; longer documents are no more certain than this many words make them.
 EVIDENCE_WORDS = 25
 #: Weight of a rating against the model's own estimate of the rated document.
-ANCHOR = 0.7
-#: Smoothing of a word's rate, in words.
-PRIOR = 0.5
+ANCHOR = 0.8
+#: A word with fewer expected occurrences tells nothing.
+LEAST_OCCURRENCES = 0.05
 #: A document is prose if at least so many words stand in prose lines and this share of them is known to the model.
 LEAST_WORDS, LEAST_KNOWN = 3, 0.5
 
@@ -123,13 +133,16 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(batch)), size), lists.flatten().to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
-def _posteriors(batch: pa.RecordBatch, ease: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _posteriors(batch: pa.RecordBatch, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each document over the levels, whether it is prose)."""
     row, word, n = _flat(batch)
     rows = len(batch)
     total = np.bincount(row, weights=n, minlength=rows)
-    of = np.bincount(row, weights=n * known[word], minlength=rows)
-    score = np.stack([np.bincount(row, weights=n * ease[word, k], minlength=rows) for k in range(LEVELS)], axis=1)
+    known = words.known[word]
+    of = np.bincount(row, weights=n * known, minlength=rows)
+    share = np.log(_occurs(words.difficulty[word])) - words.norm[None]
+    share[~known] = 0
+    score = np.stack([np.bincount(row, weights=n * share[:, k], minlength=rows) for k in range(LEVELS)], axis=1)
     score *= (np.minimum(of, EVIDENCE_WORDS) / np.maximum(of, 1))[:, None]
     p = np.exp(score - score.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True), (total >= LEAST_WORDS) & (of >= LEAST_KNOWN * total)
@@ -142,60 +155,89 @@ def _anchored(ratings: np.ndarray) -> np.ndarray:
     return q / q.sum(axis=1, keepdims=True)
 
 
-def item_step(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ease of each word at each level, whether it is known) from its expected occurrences at each level."""
-    total = sums.sum(axis=1)
-    known = total >= PRIOR
-    base = total / max(total.sum(), 1e-9)
-    rate = (sums + PRIOR * np.minimum(base / max(base[known].mean(), 1e-12) if known.any() else base, 50)[:, None] / 50 + 1e-3) / (sums.sum(axis=0)[None] + PRIOR)
-    ease = np.log(rate / rate.sum(axis=0, keepdims=True))
-    ease -= ease.mean(axis=1, keepdims=True)
-    ease[~known] = 0
-    return ease, known
+def _occurs(difficulty: np.ndarray) -> np.ndarray:
+    """sigma(SLOPE * (level - difficulty)) for each difficulty and level."""
+    return 1 / (1 + np.exp(-SLOPE * (np.arange(1, LEVELS + 1)[None] - difficulty[..., None])))
 
 
-def fit(rows: DataFrame, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(ease, known) of all word buckets, from (doc_id, words, counts, rating) rows.
+@dataclass
+class Words:
+    """Item parameters: difficulty by bucket, whether the bucket tells anything, log of the normaliser by level."""
 
-    Each iteration is one pass: every task sums its documents' words by bucket, the sums of all tasks are added by bucket, and
-    at most BUCKETS rows reach the driver.
+    difficulty: np.ndarray
+    known: np.ndarray
+    norm: np.ndarray
+
+
+def item_step(sums: np.ndarray) -> Words:
+    """The most likely difficulty of each word, from its expected occurrences at each level.
+
+    The rate r_w that belongs to a difficulty is known in closed form, so each difficulty of the grid has a profile likelihood; words
+    and the normaliser Z, which all words share, are settled in turn.
+    """
+    curve = _occurs(DIFFICULTIES)
+    total, at_level, z = sums.sum(axis=1), sums.sum(axis=0), np.ones(LEVELS)
+    seen = np.flatnonzero(total > 0)
+    told = sums[seen] @ np.log(curve).T
+    best = np.zeros(len(seen), np.int64)
+    for _ in range(50):
+        exposed = curve @ (at_level / z)
+        best = (told - total[seen, None] * np.log(np.maximum(exposed, 1e-300))[None] - 0.02 * np.abs(DIFFICULTIES - 3)[None]).argmax(axis=1)
+        new = ((total[seen] / np.maximum(exposed[best], 1e-300))[:, None] * curve[best]).sum(axis=0)
+        new /= max(new.mean(), 1e-300)
+        moved, z = np.abs(new - z).max(), np.maximum(new, 1e-9)
+        if moved < 1e-4:
+            break
+    difficulty = np.full(len(sums), 3.0)
+    difficulty[seen] = DIFFICULTIES[best]
+    return Words(difficulty, total >= LEAST_OCCURRENCES, np.log(z))
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> Words:
+    """The item parameters of all word buckets, from (doc_id, words, counts, rating) rows.
+
+    The first round learns from rated documents alone. Each round is one pass: every task sums its documents' expected occurrences
+    by bucket and level, the sums of all tasks are added by bucket, and at most BUCKETS rows reach the driver.
     """
     sc = rows.sparkSession.sparkContext
     schema = "bucket int, " + ", ".join(f"s{k} double" for k in range(LEVELS))
-    ease = known = None
-    for step in range(iterations + 1):
-        shared = sc.broadcast((ease, known))
+    words: Words | None = None
+    for _ in range(rounds + 1):
+        shared = sc.broadcast(words)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ease, known = shared.value
             acc = np.zeros((BUCKETS, LEVELS))
             for batch in batches:
                 rating = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
                 rated = ~np.isnan(rating)
-                if ease is None:
+                if shared.value is None:
                     q = np.zeros((len(batch), LEVELS))
                     q[rated] = _anchored(rating[rated])
                 else:
-                    q, is_prose = _posteriors(batch, ease, known)
+                    p, is_prose = _posteriors(batch, shared.value)
+                    q = UNRATED * p
                     q[~is_prose] = 0
-                    q[rated] = ANCHOR * _anchored(rating[rated]) + (1 - ANCHOR) * q[rated]
+                    q[rated] = ANCHOR * _anchored(rating[rated]) + (1 - ANCHOR) * p[rated]
                 row, word, n = _flat(batch)
+                at, of = np.unique(word, return_inverse=True)
                 for k in range(LEVELS):
-                    acc[:, k] += np.bincount(word, weights=n * q[row, k], minlength=BUCKETS)
+                    acc[at, k] += np.bincount(of, weights=n * q[row, k], minlength=len(at))
             at = np.flatnonzero(acc.sum(axis=1) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(acc[at, k]) for k in range(LEVELS)]], ["bucket", *[f"s{k}" for k in range(LEVELS)]])
 
         got = rows.mapInArrow(sums, schema).groupBy("bucket").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(LEVELS)]).toPandas()
         total = np.zeros((BUCKETS, LEVELS))
         total[got["bucket"].to_numpy(np.int64)] = got[[f"s{k}" for k in range(LEVELS)]].to_numpy(float)
-        ease, known = item_step(total)
-    return ease, known
+        before, words = words, item_step(total)
+        if before is not None and (np.abs(words.difficulty - before.difficulty) * total.sum(axis=1)).sum() <= MOVED * total.sum():
+            break
+    return words
 
 
 def rated_features(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     """Features with each document's mean rating (null if unrated), written to the shared folder for the passes that follow."""
     mean = ratings.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("reading_level").cast("double")).alias("rating"))
-    return cut(features(docs).join(mean, "doc_id", "left"))
+    return staged(features(docs).join(mean, "doc_id", "left"))
 
 
 def levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -206,12 +248,11 @@ def levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     Each row of `docs` gives one row; whole texts count. Rated documents get the model's estimate, not their rating.
     """
     rows = rated_features(docs, ratings)
-    ease, known = fit(rows)
-    shared = rows.sparkSession.sparkContext.broadcast((ease, known))
+    shared = rows.sparkSession.sparkContext.broadcast(fit(rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, is_prose = _posteriors(batch, *shared.value)
+            p, is_prose = _posteriors(batch, shared.value)
             level = p @ np.arange(1, LEVELS + 1)
             none = ~is_prose
             yield pa.RecordBatch.from_arrays(
