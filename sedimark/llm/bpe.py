@@ -24,7 +24,7 @@ TOKENIZER_DIR = os.environ.get("SEDIMARK_TOKENIZERS", "/opt/tokenizers")
 CACHE_PIECES = 200_000
 
 #: Rows longer than this merge every occurrence of their least pair in one round, not only the leftmost. The result is the
-#: same: a pair made by a merge has a later rank than that merge.
+#: same where every pair made by a merge has a later rank than that merge; other vocabularies merge one pair a round (`in_order`).
 LONG_ROW = 64
 
 #: Stands for a space that isn't a cut: a lone surrogate, which no text from a column can hold.
@@ -90,6 +90,12 @@ class Encoder:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right, merged = (np.fromiter((vocab[x] for x in xs), np.int64, len(pairs)) for xs in (*zip(*pairs), map("".join, pairs)))
         self.pairs = PairTable(left, right, merged)
+        # the latest merge that makes an id comes before the first one that uses it
+        made, used = np.full(len(vocab), -1, np.int64), np.full(len(vocab), len(pairs), np.int64)
+        np.maximum.at(made, merged, np.arange(len(pairs)))
+        for side in (left, right):
+            np.minimum.at(used, side, np.arange(len(pairs)))
+        self.in_order = bool((made < used).all())
         self.byte_id = np.zeros(256, np.int32)
         for ch, b in alphabet.items():
             self.byte_id[b] = vocab[ch]
@@ -141,7 +147,7 @@ class Encoder:
                 m, live, slot, rank, least = m[keep], live[keep], slot[keep], rank[keep], least[keep]
                 if not len(live):
                     return
-            if m.shape[1] > LONG_ROW:
+            if m.shape[1] > LONG_ROW and self.in_order:
                 hit = rank == least[:, None]
                 hit = _leftmost_disjoint(hit)
             else:

@@ -15,16 +15,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.session import cut
 
-#: Largest capacity and most container kinds: they bound the histogram that reaches the driver.
-MAX_CAPACITY = 65_536
-MAX_PACKS = 16
-#: Buckets that split the items of one size, so that a size held by a third of all items is ranked by many tasks.
-BUCKETS = 32
+#: Items of one size that a task ranks: a size that more items share is split into so many buckets that each has about as many.
+ITEMS_A_BUCKET = 250_000
+#: Bits of a size and of a bucket in a cell's number; the rest numbers the container kinds.
+SIZE_BITS, BUCKET_BITS = 31, 20
 
 
 @dataclass
@@ -164,11 +163,10 @@ def pack_counts(counts: dict[int, int], capacity: int) -> Packing:
 class Slots:
     """Rank of an item among the items of its size -> container, for all capacities at once, as sorted arrays."""
 
-    def __init__(self, packings: list[Packing], hist: np.ndarray) -> None:
-        """hist[base[pack] + size, bucket]: items; packs in order."""
-        caps = [p.capacity for p in packings]
-        self.base = np.concatenate([[0], np.cumsum([c + 1 for c in caps])]).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(hist.ravel())])[:-1].reshape(hist.shape)
+    def __init__(self, packings: list[Packing], cells: np.ndarray, counts: np.ndarray) -> None:
+        """counts of items by cell (container kind, size, bucket), in ascending order of cells."""
+        self.cells, self.before = cells, np.cumsum(counts) - counts
+        ends = np.concatenate([self.before, [int(counts.sum())]])
         start, first, each = [], [], []
         for k, p in enumerate(packings):
             by_size: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -177,11 +175,11 @@ class Slots:
                 for s, qty in pattern.items():
                     by_size[s].append((at, qty, many))
                 at += many
-            zero = int(hist[self.base[k]].sum())
-            if zero:
-                by_size[0].append((0, zero, 1))
+            low, high = (int(np.searchsorted(cells, cell_of(k, s, 0))) for s in (0, 1))
+            if ends[high] > ends[low]:
+                by_size[0].append((0, int(ends[high] - ends[low]), 1))
             for s, slots in sorted(by_size.items()):
-                rank = int(self.before[self.base[k] + s, 0])
+                rank = int(ends[np.searchsorted(cells, cell_of(k, s, 0))])
                 for at, qty, many in slots:
                     start.append(rank)
                     first.append(at)
@@ -190,16 +188,22 @@ class Slots:
         self.start, self.first, self.each = (np.array(x, np.int64) for x in (start, first, each))
 
     def container(self, pack: np.ndarray, size: np.ndarray, bucket: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        at = self.before[self.base[pack] + size, bucket] + rank
+        at = self.before[np.searchsorted(self.cells, cell_of(pack, size, bucket))] + rank
         slot = np.searchsorted(self.start, at, side="right") - 1
         return self.first[slot] + (at - self.start[slot]) // self.each[slot]
 
 
+def cell_of(pack, size, bucket):
+    """The number of a cell."""
+    pack, size, bucket = (x if isinstance(x, int) else np.asarray(x, np.int64) for x in (pack, size, bucket))
+    return (pack << (SIZE_BITS + BUCKET_BITS)) | (size << BUCKET_BITS) | bucket
+
+
 def _capacities(packs: DataFrame) -> list[tuple[int, int]]:
-    rows = packs.select("pack_id", "capacity_tokens").where("pack_id is not null and capacity_tokens > 0").distinct().limit(MAX_PACKS + 1).collect()
-    got = sorted((r[0], r[1]) for r in rows)
-    if len(got) > MAX_PACKS or any(c > MAX_CAPACITY for _, c in got) or len({k for k, _ in got}) < len(got):
-        raise ValueError(f"at most {MAX_PACKS} containers kinds of at most {MAX_CAPACITY}, each with one capacity")
+    """(pack_id, capacity) of the container kinds, a table of parameters: each kind has one capacity."""
+    got = sorted((r[0], r[1]) for r in packs.select("pack_id", "capacity_tokens").where("pack_id is not null and capacity_tokens > 0").distinct().collect())
+    if len({k for k, _ in got}) < len(got) or any(c >= 1 << SIZE_BITS for _, c in got) or len(got) >= 1 << (63 - SIZE_BITS - BUCKET_BITS):
+        raise ValueError("each container kind needs one capacity that is a 32-bit integer")
     return got
 
 
@@ -210,10 +214,22 @@ def _pieces(sizes: DataFrame, caps: list[tuple[int, int]], id_col: str) -> DataF
         sizes.select(id_col, "n_tokens", F.explode(kinds).alias("kind"))
         .select(id_col, "n_tokens", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(n / c) - 1))).alias("piece_no"))
         .select(id_col, F.col("kind.k").alias("k"), "piece_no", F.least(c, n - F.col("piece_no") * c).alias("size"))
-        .withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece_no"), F.lit(BUCKETS)).cast("int"))
     )
 
 
+def _cell() -> Column:
+    """The number of a piece's first cell."""
+    return F.shiftleft(F.col("k").cast("long"), SIZE_BITS + BUCKET_BITS).bitwiseOR(F.shiftleft("size", BUCKET_BITS))
+
+
+def _bucketed(pieces: DataFrame, hot: dict[int, int], id_col: str) -> DataFrame:
+    """`pieces` with their bucket: 0, but for the sizes that more than ITEMS_A_BUCKET items share, by their first cell."""
+    if not hot:
+        return pieces.withColumn("bucket", F.lit(0).cast("long"))
+    many = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])
+    return pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece_no"), F.coalesce(many[_cell()], F.lit(1).cast("long"))))
+
+
 def pack_corpus(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Places every item of `sizes` (id, n_tokens) into containers of every kind of `packs` (pack_id, capacity_tokens).
 
@@ -221,13 +237,17 @@ def pack_corpus(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id") -> D
     one is cut into full containers and a rest, a row each. Container ids count from 0 in each pack. Items of length 0 (null
     and empty texts) take no room and come with container 0. Null lengths count as 0. Repeated rows are separate items.
     """
-    caps = _capacities(packs)
+    return _placed(sizes, _capacities(packs), id_col, [])
+
+
+def _placed(sizes: DataFrame, caps: list[tuple[int, int]], id_col: str, fixed: list[Packing]) -> DataFrame:
+    """As pack_corpus; the packings are appended to `fixed`."""
     kind = sizes.schema[id_col].dataType.simpleString()
     if not caps:
         return sizes.sparkSession.createDataFrame([], f"pack_id int, `{id_col}` {kind}, piece_no int, n_tokens int, container_id bigint")
     sizes = cut(sizes.select(id_col, F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")))
-    pieces = _pieces(sizes, caps, id_col)
-    slots = plan_slots(pieces, [c for _, c in caps])[1]
+    pieces, slots, packings = plan(_pieces(sizes, caps, id_col), [c for _, c in caps], id_col)
+    fixed += packings
     shared = sizes.sparkSession.sparkContext.broadcast(slots)
 
     @F.pandas_udf("bigint")
@@ -242,25 +262,35 @@ def pack_corpus(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id") -> D
     )
 
 
-def plan_slots(pieces: DataFrame, caps: list[int]) -> tuple[list[Packing], Slots]:
-    """The packings of the histogram of `pieces`; at most sum(capacity + 1) * BUCKETS counts reach the driver."""
-    base = np.concatenate([[0], np.cumsum([c + 1 for c in caps])])
-    hist = np.zeros((int(base[-1]), BUCKETS), np.int64)
-    got = pieces.groupBy("k", "size", "bucket").count().toPandas()
-    hist[base[got["k"].to_numpy(np.int64)] + got["size"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    total = hist.sum(axis=1)
-    packings = [pack_counts({s: int(total[base[i] + s]) for s in range(1, c + 1) if total[base[i] + s]}, c) for i, c in enumerate(caps)]
-    return packings, Slots(packings, hist)
-
-
-def pack_report(placed: DataFrame, packs: DataFrame) -> DataFrame:
-    """Per pack: containers, items, tokens, the fewest containers that could hold the tokens, and the share of room in use."""
-    caps = packs.select("pack_id", F.col("capacity_tokens").cast("long").alias("cap")).distinct()
+def plan(pieces: DataFrame, caps: list[int], id_col: str) -> tuple[DataFrame, Slots, list[Packing]]:
+    """(pieces with their bucket, where each goes, the packings). One count for each size that occurs reaches the driver, at most
+    sum(capacities), and one for each bucket of a size with several."""
+    rows = pieces.groupBy("k", "size").agg(F.count("*").alias("n")).toPandas().to_numpy(np.int64).tolist()
+    counts: list[dict[int, int]] = [{} for _ in caps]
+    for k, s, n in rows:
+        counts[k][s] = n
+    hot = {cell_of(k, s, 0): min(-(-n // ITEMS_A_BUCKET), 1 << BUCKET_BITS) for k, s, n in rows if n > ITEMS_A_BUCKET}
+    placed, cells = _bucketed(pieces, hot, id_col), {cell_of(k, s, 0): n for k, s, n in rows if n <= ITEMS_A_BUCKET}
+    if hot:
+        split = placed.where(_cell().isin(list(hot))).groupBy("k", "size", "bucket").agg(F.count("*").alias("n")).toPandas().to_numpy(np.int64).tolist()
+        cells |= {cell_of(k, s, b): n for k, s, b, n in split}
+    order = sorted(cells)
+    packings = [pack_counts({s: n for s, n in of.items() if s}, c) for of, c in zip(counts, caps)]
+    return placed, Slots(packings, np.array(order, np.int64), np.array([cells[c] for c in order], np.int64)), packings
+
+
+def pack_report(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per pack: containers, how many of them dominance fixed, pieces, tokens, the fullest container, the fewest containers that could
+    hold the tokens, and the share of room in use. Packs without any item of some length have no row."""
+    caps = _capacities(packs)
+    fixed: list[Packing] = []
+    placed = _placed(sizes, caps, id_col, fixed)
+    kinds = sizes.sparkSession.createDataFrame([(p, c, f.reduced) for (p, c), f in zip(caps, fixed)], "pack_id int, cap bigint, n_fixed bigint")
     by = placed.where("n_tokens > 0").groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
     return (
         by.groupBy("pack_id")
         .agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"))
-        .join(caps, "pack_id")
-        .select("pack_id", F.col("cap").alias("capacity_tokens"), "n_containers", "n_pieces", "n_tokens", "fullest",
+        .join(kinds, "pack_id")
+        .select("pack_id", F.col("cap").alias("capacity_tokens"), "n_containers", "n_fixed", "n_pieces", "n_tokens", "fullest",
                 F.ceil(F.col("n_tokens") / F.col("cap")).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * F.col("cap"))).alias("fill"))
     )

@@ -84,7 +84,7 @@ def p9_placements(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
-    return packing.pack_report(p9_placements(spark, d), table(spark, d, "pack_capacities"))
+    return packing.pack_report(tokens.token_counts(table(spark, d, "documents")), table(spark, d, "pack_capacities"))
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import itertools
+import json
 import os
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sedimark.llm import packing, tokens
+from sedimark.llm import bpe, packing, tokens
 from sedimark.llm.bpe import PATTERN, TOKENIZER_DIR, Encoder
 
 if not os.path.exists(os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json")):
@@ -123,14 +124,46 @@ def test_packs_of_a_corpus(spark):
         assert all(r.n_tokens == cap for r in mine if r.piece_no < max(x.piece_no for x in mine if x.doc_id == r.doc_id))
         least = -(-sum(want.values()) // cap)
         assert len(load) <= 1.1 * least
-    report = {r.pack_id: r for r in packing.pack_report(placed, packs.where("pack_id is not null and capacity_tokens > 0")).collect()}
-    assert report[1].fill <= 1 and report[1].n_containers >= report[1].least_containers
+    report = {r.pack_id: r for r in packing.pack_report(sizes, packs).collect()}
+    assert report[1].fill <= 1 and report[1].n_containers >= report[1].least_containers and 0 < report[1].n_fixed <= report[1].n_containers
+
+
+def test_hot_sizes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_A_BUCKET", 20)
+    sizes = spark.createDataFrame([(i, 7 if i % 3 else i % 11) for i in range(400)], "doc_id bigint, n_tokens bigint")
+    got = packing.pack_corpus(sizes, spark.createDataFrame([(1, 30), (2, 5_000_000)], "pack_id int, capacity_tokens int")).collect()
+    load = Counter()
+    for r in got:
+        load[r.pack_id, r.container_id] += r.n_tokens
+    assert len({(r.pack_id, r.doc_id, r.piece_no) for r in got}) == len(got) == 800
+    assert all(n <= (30 if k == 1 else 5_000_000) for (k, _), n in load.items()) and len({c for k, c in load if k == 2}) == 1
 
 
 def test_slots_split_ranks_by_bucket():
-    hist = np.zeros((11, packing.BUCKETS), np.int64)
-    hist[4, :3] = [3, 2, 5]
+    cells = np.array([packing.cell_of(0, 4, b) for b in range(3)], np.int64)
     p = packing.pack_counts({4: 10}, 10)
-    slots = packing.Slots([p], hist)
+    slots = packing.Slots([p], cells, np.array([3, 2, 5], np.int64))
     seen = Counter(int(slots.container(np.array([0]), np.array([4]), np.array([b]), np.array([r]))[0]) for b, n in enumerate([3, 2, 5]) for r in range(n))
     assert seen == Counter({i: 2 for i in range(5)})
+
+
+def test_merges_out_of_order_go_one_by_one(tmp_path):
+    alphabet = bpe.byte_alphabet()
+    vocab = {ch: b for ch, b in alphabet.items()}
+    for t in ("ab", "aba", "cab"):
+        vocab[t] = len(vocab)
+    merges = [["ab", "a"], ["c", "ab"], ["a", "b"]]  # uses ab before it is made
+    at = tmp_path / "v.json"
+    at.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+    e = bpe.Encoder(str(at))
+    assert not e.in_order
+
+    def plain(word):
+        ids, rank = [vocab[c] for c in word], {(vocab[x], vocab[y]): i for i, (x, y) in enumerate(merges)}
+        while pairs := [(rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]:
+            r, i = min(pairs)
+            ids[i : i + 2] = [vocab["".join(merges[r])]]
+        return ids
+
+    for word in ("ab" * 70, "cab" * 50, "abacab" * 30):
+        assert e.merge([word.encode()])[0].tolist() == plain(word)
