@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,71 +87,78 @@ def adjacency(packaged: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def group_files(ordered: DataFrame, max_tokens: int = 8000, overlap: float = 0.1) -> DataFrame:
-    """G1: (repo, group_id, pos, path, tokens): files in walking order packed into overlapping groups of at most `max_tokens`.
+    """G1: (repo, group_id, pos, path, tokens): files in walking order in overlapping groups of at most `max_tokens`.
 
-    A group closes before the file that would exceed the limit, or once it holds its share of the total; a part of its last files,
-    about `overlap` of its tokens, opens the next one, files that came by overlap aside. A longer file has a group alone. Order
-    decides everything, so a repo is one sequence: its rows (path and tokens only) stream through one task in sorted batches.
+    Groups are intervals of the order. One ends where the limit or, but for the last planned one, its even share of the total is
+    reached, and the next begins up to `overlap` of its tokens earlier, never before its own first new file. A longer file has a
+    group alone. Every interval depends on the one before it, so a repo is one sequence: its rows (path and tokens only) pass through
+    one task in sorted batches, and only the rows of the open interval are held.
     """
     totals = ordered.groupBy("repo").agg(F.sum("tokens").alias("total"))
     rows = ordered.join(totals, "repo").select("repo", "pos", "path", "tokens", "total").repartition("repo").sortWithinPartitions("repo", "pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = None
+        held, cover = None, None
         for pdf in batches:
-            out: list[tuple] = []
-            for repo, pos, path, tokens, total in pdf.itertuples(index=False, name=None):
-                if packer is None or packer.repo != repo:
-                    if packer:
-                        out += packer.close()
-                    packer = _Packer(repo, int(total), max_tokens, overlap)
-                out += packer.add(path, int(tokens))
-            yield pd.DataFrame(out, columns=["repo", "group_id", "pos", "path", "tokens"])
-        if packer:
-            yield pd.DataFrame(packer.close(), columns=["repo", "group_id", "pos", "path", "tokens"])
+            for repo, rows in pdf.groupby("repo", sort=False, dropna=False):
+                if cover and not _same_name(cover.repo, repo):
+                    yield cover.cut(held, len(held))
+                    held, cover = None, None
+                if cover is None:
+                    cover = _Cover(repo, int(rows["total"].iloc[0]), max_tokens, overlap)
+                held = rows[["path", "tokens"]] if held is None else pd.concat([held, rows[["path", "tokens"]]])
+                sums = np.concatenate([[0], held["tokens"].to_numpy(np.int64).cumsum()])
+                while (end := cover.end(sums)) is not None:
+                    yield cover.cut(held, end)
+                    start = cover.restart(sums, end)
+                    held, sums = held.iloc[start:], sums[start:] - sums[start]
+        if cover and len(held):
+            yield cover.cut(held, len(held))
 
     return rows.mapInPandas(run, "repo string, group_id int, pos int, path string, tokens bigint")
 
 
-class _Packer:
-    """One repo's open group."""
+def _same_name(a: object, b: object) -> bool:
+    return a == b or (a is None or a != a) and (b is None or b != b)
+
+
+class _Cover:
+    """Where the intervals of one repo end and begin, from prefix sums of the tokens since the open one's first file."""
 
     def __init__(self, repo: str, total: int, most: int, overlap: float) -> None:
         self.repo, self.most, self.overlap = repo, most, overlap
         self.planned = max(1, -(-total // most))
         self.share = total / self.planned
-        self.closed, self.held, self.tokens = 0, [], 0
-        self.carried: set[str] = set()
-
-    def add(self, path: str, tokens: int) -> list[tuple]:
-        out: list[tuple] = []
-        while self.held and (self.tokens + tokens > self.most or (self.closed != self.planned - 1 and self.tokens >= self.share)):
-            before = self.tokens
-            tail, size = self.tail()
-            out += self.close()
-            again = size + tokens > self.most or (self.closed != self.planned - 1 and size >= self.share)
-            if size == before and again:  # all of it was carried and would close again: no progress
-                tail, size = [], 0
-            self.held, self.tokens, self.carried = tail, size, {p for p, _ in tail}
-        self.held.append((path, tokens))
-        self.tokens += tokens
-        return out
-
-    def tail(self) -> tuple[list[tuple[str, int]], int]:
-        budget, tail, size = self.tokens * self.overlap, [], 0
-        for path, tokens in reversed(self.held):
-            if size >= budget or (path not in self.carried and size + tokens >= self.most):
-                break
-            if path not in self.carried:
-                tail.append((path, tokens))
-                size += tokens
-        return tail[::-1], size
-
-    def close(self) -> list[tuple]:
-        rows = [(self.repo, self.closed, i, p, t) for i, (p, t) in enumerate(self.held)]
-        self.closed += 1
-        self.held, self.tokens = [], 0
-        return rows
+        self.done = self.old = 0  # intervals that ended; files of the open one that the last one held as well
+
+    def _least(self, size: float) -> bool:
+        """Whether an interval of that size has its share, which the last planned one doesn't have to stop at."""
+        return self.done != self.planned - 1 and size >= self.share
+
+    def end(self, sums: np.ndarray) -> int | None:
+        """The first place at which the open interval must end before another file, or None where all that is known fits."""
+        low = max(self.old, 1)
+        end = max(low, int(np.searchsorted(sums, self.most, side="right")) - 1)
+        if self.done != self.planned - 1:
+            end = min(end, max(low, int(np.searchsorted(sums, self.share))))
+        return end if end < len(sums) - 1 else None
+
+    def restart(self, sums: np.ndarray, end: int) -> int:
+        """The first file of the next interval: of the files that are new in this one the longest tail whose files but the first are
+        less than the overlap, and which is less than the limit. A tail that would end at once and is all of this interval is none."""
+        size = int(sums[end])
+        short = int(np.searchsorted(sums[: end + 1], size - size * self.overlap, side="right")) - 1
+        start = min(end, max(short, int(np.searchsorted(sums[: end + 1], size - self.most, side="right")), self.old))
+        if start == 0 and (int(sums[end + 1]) > self.most or self._least(size)):
+            start = end
+        self.old = end - start
+        return start
+
+    def cut(self, held: pd.DataFrame, end: int) -> pd.DataFrame:
+        """The rows of the interval that ends here."""
+        out = held.iloc[:end].assign(repo=self.repo, group_id=self.done, pos=range(end))
+        self.done += 1
+        return out[["repo", "group_id", "pos", "path", "tokens"]]
 
 
 def membership(groups: DataFrame) -> DataFrame:
