@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.session import bounded, cut
+
 #: Weights of the uncertainty index.
 WEIGHTS = {"coll": 0.30, "join": 0.25, "lin": 0.30, "code": 0.15}
 
@@ -18,13 +20,23 @@ def latest(df: DataFrame, keys: list[str], values: list[str], loaded: str = "loa
     return df.groupBy(*keys).agg(F.max(F.struct(loaded, *values)).alias("_l")).select(*keys, *[F.col(f"_l.{v}").alias(v) for v in values])
 
 
-def file_status(signatures: DataFrame, old: int, new: int) -> DataFrame:
-    """(repo, path, status): unchanged, changed, deleted or added between two snapshots; null hashes are equal."""
-    side = lambda n: latest(signatures.where(F.col("snapshot_no") == n), ["repo", "path"], ["sha256"])
-    a, b = side(old).withColumn("was", F.lit(True)), side(new).withColumn("now", F.lit(True)).withColumnRenamed("sha256", "fresh")
-    both = a.join(b, ["repo", "path"], "full_outer")
-    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("sha256").eqNullSafe(F.col("fresh")), "unchanged").otherwise("changed")
-    return both.select("repo", "path", status.alias("status"))
+def neighbours(df: DataFrame, scope: str = "repo", snapshot: str = "snapshot_no") -> tuple[DataFrame, DataFrame]:
+    """(old, new): the rows of every snapshot with a preceding one that holds rows of the same scope, and those of that one; in both
+    the snapshot is the later one. Rows without a snapshot are left out."""
+    steps = df.where(F.col(snapshot).isNotNull()).select(F.col(scope).alias("_s"), F.col(snapshot).alias("_n")).distinct().withColumn("_p", F.lag("_n").over(Window.partitionBy("_s").orderBy("_n"))).where("_p is not null")
+    steps = bounded(cut(steps))
+    side = lambda at: df.join(steps, F.col(scope).eqNullSafe(F.col("_s")) & (F.col(snapshot) == F.col(at))).withColumn(snapshot, F.col("_n")).drop("_s", "_n", "_p")
+    return side("_p"), side("_n")
+
+
+def file_status(signatures: DataFrame) -> DataFrame:
+    """(snapshot_no, repo, path, status): unchanged, changed, deleted or added against the repo's preceding snapshot; null hashes are equal."""
+    keys = ["snapshot_no", "repo", "path"]
+    old, new = neighbours(latest(signatures, keys, ["sha256"]))
+    sides = old.select(*keys, F.struct("sha256").alias("a"), F.lit(None).cast("struct<sha256:string>").alias("b")).unionByName(new.select(*keys, F.lit(None).cast("struct<sha256:string>").alias("a"), F.struct("sha256").alias("b")))
+    both = sides.groupBy(*keys).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a.sha256").eqNullSafe(F.col("b.sha256")), "unchanged").otherwise("changed")
+    return both.select(*keys, status.alias("status"))
 
 
 def bag_match(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,12 +75,12 @@ def key_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("repo", "file", added.alias("added"), removed.alias("removed"), F.when((F.size(added) > 0) | (F.size(removed) > 0), "structure").otherwise("values-only").alias("verdict"))
 
 
-def inventory_root(signatures: DataFrame) -> DataFrame:
-    """(repo, root): SHA-256 over the lines path NUL signature LF in path order, a missing signature empty.
+def inventory_root(signatures: DataFrame, scope: str = "repo") -> DataFrame:
+    """(scope, root): SHA-256 over the lines path NUL signature LF in path order, a missing signature empty.
 
     The hash is sequential by definition: a repo's rows stream through one task in sorted batches, and only the hash state is kept.
     """
-    rows = signatures.where("path is not null").select("repo", "path", F.coalesce("sha256", F.lit("")).alias("sha256")).distinct().repartition("repo").sortWithinPartitions("repo", "path", "sha256")
+    rows = signatures.where("path is not null").select(F.col(scope).alias("repo"), "path", F.coalesce("sha256", F.lit("")).alias("sha256")).distinct().repartition("repo").sortWithinPartitions("repo", "path", "sha256")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, h, seen = None, None, False
@@ -84,17 +96,17 @@ def inventory_root(signatures: DataFrame) -> DataFrame:
         if seen:
             yield pd.DataFrame([(at, h.hexdigest())], columns=["repo", "root"])
 
-    return rows.mapInPandas(run, "repo string, root string")
+    return rows.mapInPandas(run, "repo string, root string").withColumnRenamed("repo", scope)
 
 
-def merkle_root(signatures: DataFrame, buckets: int = 256) -> DataFrame:
-    """(repo, root): a two-level root for repos of any size: hashes of the rows of each bucket, then the hash of those in order."""
+def merkle_root(signatures: DataFrame, scope: tuple[str, ...] = ("repo",), buckets: int = 256) -> DataFrame:
+    """(scope, root): a two-level root for repos of any size: hashes of the rows of each bucket, then the hash of those in order."""
     leaf = F.sha2(F.concat_ws("\0", "path", F.coalesce("sha256", F.lit(""))), 256)
-    rows = signatures.where("path is not null").select("repo", "path", "sha256").distinct().select("repo", leaf.alias("leaf"), F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"))
+    rows = signatures.where("path is not null").select(*scope, "path", "sha256").distinct().select(*scope, leaf.alias("leaf"), F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"))
     word = lambda i: F.conv(F.substring("leaf", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
-    inner = rows.groupBy("repo", "b").agg(*[F.sum(word(i)).alias(f"s{i}") for i in range(4)], F.count("*").alias("n"))
+    inner = rows.groupBy(*scope, "b").agg(*[F.sum(word(i)).alias(f"s{i}") for i in range(4)], F.count("*").alias("n"))
     each = F.struct("b", F.concat_ws(":", *[f"s{i}" for i in range(4)], "n").alias("h"))
-    return inner.groupBy("repo").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "|"), 256).alias("root"))
+    return inner.groupBy(*scope).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "|"), 256).alias("root"))
 
 
 def uncertainty(coll: Column, join: Column, lin: Column, code: Column, absent: Column, unproven: Column) -> Column:

@@ -50,20 +50,46 @@ def citations(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "nth", posix(F.regexp_replace("cited", r":\d+$", "")).alias("path"), F.when(line != "", line).try_cast("int").alias("line"))
 
 
-def resolve_citations(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """(verdict, n): citations that resolve, whose file is missing, or that point past its end.
+def resolved(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, nth, path, line, verdict): citations that resolve, whose file is missing, or that point past its end.
 
-    A citation names the end of a path in the document's source (repo); of several such files the longest counts.
+    A citation names a path, or the end of one from a directory on, in the document's source (repo); of several such files
+    the longest counts. Paths meet in an equi-join on the ends of the files' paths.
     """
-    tail = lambda p: F.array_join(F.slice(F.split(p, "/"), -2, 2), "/")
-    two = F.size(F.split("path", "/")) >= 2
-    known = with_path(files).where(F.col("content").isNotNull() & two)
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     size = F.size(F.split(F.regexp_replace("content", "\n$", ""), "\n"))
-    sizes = known.groupBy("repo", tail(F.col("path")).alias("tail")).agg(F.max(size).alias("lines"))
-    cited = citations(docs).withColumn("tail", F.when(F.size(F.split("path", "/")) >= 2, tail(F.col("path"))).otherwise(F.col("path")))
-    met = cited.withColumnRenamed("source", "repo").join(sizes, ["repo", "tail"], "left")
+    known = with_path(files).where("content is not null").select("repo", F.explode(ends).alias("end"), size.alias("lines"))
+    longest = known.groupBy("repo", "end").agg(F.max("lines").alias("lines"))
+    met = citations(docs).alias("c").join(longest.alias("k"), (F.col("c.source") == F.col("k.repo")) & (F.col("c.path") == F.col("k.end")), "left")
     verdict = F.when(F.col("lines").isNull(), "missing").when(F.col("line") > F.col("lines"), "past the end").otherwise("resolved")
-    return met.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    return met.select("doc_id", "nth", "c.path", "line", verdict.alias("verdict"))
+
+
+def resolve_citations(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """(verdict, n): how many citations resolve."""
+    return resolved(docs, files).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def clause(prefix: Column) -> Column:
+    """The last sentence of what stands before a tag."""
+    return F.element_at(F.split(prefix, r"(?<=[.!?])\s+"), -1)
+
+
+def tagged_claims(docs: DataFrame, kind: str = "confirmed") -> DataFrame:
+    """(doc_id, nth, claim): the clause before each tag of a kind; a clause begins after the tag or line before it."""
+    before = F.regexp_extract_all("text", F.lit(r"([^\n\]]*)" + TAGS[kind]), 1)
+    rows = docs.where("text is not null").select("doc_id", F.posexplode(before).alias("nth", "prefix"))
+    return rows.select("doc_id", "nth", F.trim(clause(F.rtrim("prefix"))).alias("claim")).where("claim <> ''")
+
+
+#: Identifiers that a claim would share with the source it cites.
+SYMBOLS = (r"@[A-Z]\w+", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b", r"\b[a-z]\w*(?=\(\))", r"\b[A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]+)+\b", r"\b[a-z][a-z0-9_-]*(?:\.[a-z0-9_-]+){2,}\b")
+
+
+def claim_symbols(text: Column) -> Column:
+    """The identifiers in a claim, sorted; of method calls the bare name."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[all_of(F.replace(text, F.lit("`"), F.lit("")), p) for p in SYMBOLS]))))
 
 
 def claim_units(docs: DataFrame) -> DataFrame:

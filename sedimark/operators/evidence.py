@@ -184,6 +184,19 @@ def family_claims(evidence: DataFrame, keys: DataFrame, by: list[str]) -> DataFr
     return out.select(*by, "f.family", F.when(F.col("f.witness").isNotNull(), "ABSENCE").otherwise("UNPROVEN").alias("predicate"), "f.witness")
 
 
+def family_support(evidence: DataFrame) -> DataFrame:
+    """(repo, family, n_dependencies, supported): families that a deployment row of a repo names, and 1 where code has rows of them."""
+    hay = F.lower(F.concat_ws(" ", "match", "rule_id", "file"))
+    rows = evidence.where("repo is not null")
+    agg = []
+    for f, (buckets, dep) in FAMILIES.items():
+        if dep:
+            agg += [F.count_if((F.col("bucket") == "deployment") & hay.rlike(dep)).alias(f"d_{f}"), F.count_if(F.col("bucket").isin(*buckets)).alias(f"h_{f}")]
+    each = F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"d_{f}").alias("n"), F.col(f"h_{f}").alias("h")) for f, (_, dep) in FAMILIES.items() if dep])
+    out = rows.groupBy("repo").agg(*agg).select("repo", F.explode(each).alias("e")).where("e.n > 0")
+    return out.select("repo", "e.family", F.col("e.n").alias("n_dependencies"), F.when(F.col("e.h") > 0, 1).otherwise(0).alias("supported"))
+
+
 def unknown_buckets(evidence: DataFrame) -> DataFrame:
     """(rule_id, n): rules whose prefix is no bucket, which a strict run would refuse."""
     return evidence.where("rule_id is not null").where(~bucket_of(F.col("rule_id")).isin(*BUCKETS)).groupBy("rule_id").agg(F.count("*").alias("n"))
@@ -192,9 +205,9 @@ def unknown_buckets(evidence: DataFrame) -> DataFrame:
 def located(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """(evidence_id, source_line): rows whose file is in the inventory, with the line they name; null beyond the end.
 
-    Of a file delivered more than once the greatest file_id counts.
+    Of a file delivered more than once the greatest file_id counts. Every file is split once (`verify.with_lines`).
     """
+    from sedimark.operators.verify import with_lines
+
     rows = evidence.where("file is not null and repo is not null").select("evidence_id", "repo", posix(F.col("file")).alias("path"), "line")
-    latest = with_path(files).groupBy("repo", "path").agg(F.max_by("content", "file_id").alias("content"))
-    text = F.try_element_at(F.split(F.regexp_replace("content", "\r", ""), "\n"), F.col("line"))
-    return rows.join(latest, ["repo", "path"]).select("evidence_id", F.when(F.col("line") > 0, text).alias("source_line"))
+    return with_lines(rows, files).select("evidence_id", F.col("near").alias("source_line"))

@@ -13,26 +13,29 @@ from pyspark.sql import functions as F
 from sedimark.functions.text import java_package
 from sedimark.operators.entities import class_of
 from sedimark.operators.inventory import with_path
-from sedimark.session import cut
+from sedimark.session import cut, staged
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """(repo, package, stem, file): the file that declares a type; of several with one name the greatest path."""
+def parsed(files: DataFrame) -> DataFrame:
+    """(repo, file, package, stem, imports): the Java files with what their text declares, stored once for all that follows."""
     java = with_path(files).where(F.col("path").endswith(".java") & F.col("content").isNotNull())
-    rows = java.select("repo", java_package(F.col("content")).alias("package"), class_of(F.col("path")).alias("stem"), F.col("path").alias("file")).where("package <> ''")
-    return rows.groupBy("repo", "package", "stem").agg(F.max("file").alias("file"))
+    found = F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+((?:static\s+)?[\w.]+(?:\.\*)?)\s*;"), 1)
+    return staged(java.select("repo", F.col("path").alias("file"), java_package(F.col("content")).alias("package"), class_of(F.col("path")).alias("stem"), found.alias("imports")))
 
 
-def members(files: DataFrame) -> DataFrame:
-    """(repo, package, file): all files that declare a package."""
-    java = with_path(files).where(F.col("path").endswith(".java") & F.col("content").isNotNull())
-    return java.select("repo", java_package(F.col("content")).alias("package"), F.col("path").alias("file")).where("package <> ''").distinct()
+def declarations(java: DataFrame) -> DataFrame:
+    """(repo, package, stem, file): the file that declares a type; of several with one name the greatest path. `java`: parsed files."""
+    return java.where("package <> ''").groupBy("repo", "package", "stem").agg(F.max("file").alias("file"))
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(repo, file, qualified, static): the distinct imports of each Java file."""
-    java = with_path(files).where(F.col("path").endswith(".java") & F.col("content").isNotNull())
-    rows = java.select("repo", F.col("path").alias("file"), F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+((?:static\s+)?[\w.]+(?:\.\*)?)\s*;"), 1)).alias("x"))
+def members(java: DataFrame) -> DataFrame:
+    """(repo, package, file): all files that declare a package. `java`: parsed files."""
+    return java.where("package <> ''").select("repo", "package", "file").distinct()
+
+
+def imports(java: DataFrame) -> DataFrame:
+    """(repo, file, qualified, static): the distinct imports of each Java file. `java`: parsed files."""
+    rows = java.select("repo", "file", F.explode("imports").alias("x"))
     return rows.select("repo", "file", F.regexp_replace("x", r"^static\s+", "").alias("qualified"), F.col("x").startswith("static ").alias("static")).distinct()
 
 
@@ -40,22 +43,23 @@ def resolve(imported: DataFrame, declared: DataFrame, packaged: DataFrame) -> Da
     """(repo, file, qualified, static, target, confidence) for each file an import may mean; target null if unresolved.
 
     A wildcard means every file of its package. Another name is shortened one part at a time; at each step the type by that name
-    counts (exact), else every file of the package (package-fanout); the longest name that gives anything wins. Each import
-    probes with its prefixes, so the tables meet in equi-joins only.
+    counts (exact), else every file of the package (package-fanout); the longest name that gives anything wins. Each distinct name
+    probes types and packages with its prefixes; only the package that wins is expanded to its files.
     """
     parts = F.split("qualified", r"\.")
     wild = F.col("qualified").endswith(".*")
     depth = F.explode(F.when(wild, F.array(F.size(parts) - 1)).otherwise(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))))
-    probes = imported.withColumn("parts", parts).withColumn("wild", wild).withColumn("depth", depth).where("size(parts) > 1")
-    probes = probes.select("repo", "file", "qualified", "static", "wild", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), ".").alias("package"), F.when(~F.col("wild"), F.element_at("parts", F.col("depth") + 1)).alias("stem"))
-    exact = probes.join(declared.withColumnRenamed("file", "target"), ["repo", "package", "stem"]).select("repo", "file", "qualified", "static", "depth", "target", F.lit("exact").alias("confidence"))
-    fanout = probes.join(packaged.withColumnRenamed("file", "target"), ["repo", "package"]).select("repo", "file", "qualified", "static", "depth", "target", F.lit("package-fanout").alias("confidence"))
-    key = ["repo", "file", "qualified", "static"]
-    every = exact.unionByName(fanout)
-    best = every.groupBy(*key).agg(F.min(F.struct((-F.col("depth")).alias("d"), "confidence")).alias("b"))
-    kept = every.join(best, key).where("-depth = b.d and confidence = b.confidence").select(*key, "target", "confidence")
-    lost = imported.join(best.select(*key), key, "left_anti").select(*key, F.lit(None).cast("string").alias("target"), F.lit("unresolved").alias("confidence"))
-    return kept.unionByName(lost)
+    names = imported.select("repo", "qualified").distinct()  # what a name means doesn't depend on who imports it
+    probes = names.withColumn("parts", parts).withColumn("wild", wild).withColumn("depth", depth).where("size(parts) > 1")
+    probes = probes.select("repo", "qualified", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), ".").alias("package"), F.when(~F.col("wild"), F.element_at("parts", F.col("depth") + 1)).alias("stem"))
+    types = declared.withColumnRenamed("file", "exact")
+    packages = packaged.select("repo", "package").distinct().withColumn("there", F.lit(True))
+    met = probes.join(types, ["repo", "package", "stem"], "left").join(packages, ["repo", "package"], "left").where("exact is not null or there")
+    best = met.groupBy("repo", "qualified").agg(F.max_by(F.struct("exact", "package"), "depth").alias("b")).select("repo", "qualified", "b.exact", "b.package")
+    one = best.where("exact is not null").select("repo", "qualified", F.col("exact").alias("target"), F.lit("exact").alias("confidence"))
+    many = best.where("exact is null").join(packaged, ["repo", "package"]).select("repo", "qualified", F.col("file").alias("target"), F.lit("package-fanout").alias("confidence"))
+    out = imported.join(one.unionByName(many), ["repo", "qualified"], "left")
+    return out.select("repo", "file", "qualified", "static", "target", F.coalesce("confidence", F.lit("unresolved")).alias("confidence"))
 
 
 def cut_edges(resolved: DataFrame, membership: DataFrame) -> DataFrame:
@@ -71,14 +75,6 @@ def cut_edges(resolved: DataFrame, membership: DataFrame) -> DataFrame:
     return met.where(~F.arrays_overlap(F.coalesce("from_groups", none), F.coalesce("to_groups", none))).select("repo", "file", "target", "qualified", "confidence")
 
 
-def edge_stats(resolved: DataFrame, cut_: DataFrame) -> DataFrame:
-    """One row for each repo: arcs that are cut, by confidence, and imports that resolve to nothing."""
-    a = cut_.groupBy("repo").agg(F.count("*").alias("cut_arcs"), F.count_if(F.col("confidence") == "exact").alias("exact"), F.count_if(F.col("confidence") == "package-fanout").alias("fanout"))
-    b = resolved.groupBy("repo").agg(F.count_if(F.col("confidence") == "unresolved").alias("unresolved"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return b.join(a, "repo", "left").select("repo", zero("cut_arcs"), zero("exact"), zero("fanout"), "unresolved")
-
-
 def adjacency(packaged: DataFrame, groups: DataFrame) -> DataFrame:
     """(repo, package, group_id, n_inside, n_outside): packages with files in and out of a group; no pairs are formed."""
     sizes = packaged.groupBy("repo", "package").agg(F.count("*").alias("n")).where("n > 1")
@@ -186,6 +182,17 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(repo, name): the names from which a target (name) can be reached over edges (repo, src, dst), cycles or not, by steps back from
+    the targets; only names, never pairs, are kept."""
+    known = fresh = cut(edges.join(targets.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi").select("repo", F.col("src").alias("name")).distinct())
+    while not fresh.isEmpty():
+        step = edges.join(fresh.withColumnRenamed("name", "dst"), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("name")).distinct()
+        fresh = cut(step.join(known, ["repo", "name"], "left_anti"))
+        known = cut(known.unionByName(fresh))
+    return known
+
+
 def most_specific(candidates: DataFrame, reach: DataFrame) -> DataFrame:
     """C17: rows of `candidates` (id, type) whose type reaches no other candidate type of the same id below it."""
     lower = candidates.select("id", F.col("type").alias("src")).join(reach.select("src", "dst"), "src").select("id", F.col("dst").alias("type")).distinct()

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.functions.ordered import ordered_index
+from sedimark.functions.ordered import range_index
 from sedimark.functions.text import posix
 
 #: Directories a walk leaves out, beside hidden ones.
@@ -45,13 +45,14 @@ def directories(path: Column) -> Column:
 
 
 def walked(files: DataFrame, gitignore: list[str] | None = None) -> DataFrame:
-    """A1-A3: files whose directories are neither hidden nor excluded, and which no gitignore pattern names."""
+    """A1-A3: files whose directories are neither hidden nor excluded, and which no gitignore pattern names; of several patterns the last decides."""
     rows = with_path(files)
     dirs = directories(F.col("path"))
     out = rows.where(~F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED_DIRS))) & ~F.exists(dirs, lambda d: d.startswith(".")))
-    for rule, keep in [gitwild(p) for p in gitignore or [] if p.strip() and not p.startswith("#")]:
-        out = out.withColumn("_ignored", F.col("path").rlike(rule) if not keep else F.lit(False)).where("not _ignored").drop("_ignored")
-    return out
+    ignored = F.lit(False)
+    for rule, negated in [gitwild(p) for p in gitignore or [] if p.strip() and not p.startswith("#")]:
+        ignored = F.when(F.col("path").rlike(rule), F.lit(not negated)).otherwise(ignored)
+    return out.where(~ignored)
 
 
 def gitwild(pattern: str) -> tuple[str, bool]:
@@ -77,9 +78,9 @@ def groupable(files: DataFrame) -> DataFrame:
 
 
 def walk_order(files: DataFrame) -> DataFrame:
-    """(repo, path, pos): the place of each distinct file in its repo's walk; ordered bucket by bucket of top directories."""
+    """(repo, path, pos): the place of each distinct file in its repo's walk; ordered in ranges of even size, however large one directory is."""
     rows = groupable(files).select("repo", "path").distinct().withColumn("key", walk_key(F.col("path")))
-    return ordered_index(rows, ["repo"], ["key"], F.col("key")[0], "pos").select("repo", "path", "pos")
+    return range_index(rows, ["repo"], ["key"], "pos").select("repo", "path", "pos")
 
 
 def signatures(files: DataFrame) -> DataFrame:

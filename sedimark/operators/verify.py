@@ -29,19 +29,39 @@ def recheck(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str])
     return out.select(*keys, status.alias("status"), F.when(F.col("t"), F.array_join("m", ",")).alias("moved"))
 
 
+def with_lines(rows: DataFrame, files: DataFrame, reach: int = 0) -> DataFrame:
+    """`rows` (repo, path, line, ...) with near: the text of the lines from `reach` before to `reach` after each row's line, and n_lines.
+
+    Each file is split once: its rows are first reduced to the distinct lines they name, so a file meets one list of lines, and the
+    pieces go back to the rows by line. Rows whose file is unknown are left out; near is null for lines outside of the file. Carriage
+    returns are left out. Of a file delivered more than once the greatest file_id counts.
+    """
+    text = with_path(files).where("content is not null").groupBy("repo", "path").agg(F.max_by("content", "file_id").alias("content"))
+    wanted = rows.groupBy("repo", "path").agg(F.array_sort(F.collect_set("line")).alias("wanted"))
+    split = wanted.join(text, ["repo", "path"]).withColumn("lines", F.split(F.regexp_replace("content", "\r", ""), "\n"))
+    size = F.size("lines")
+    start = lambda n: F.greatest(F.lit(1), n - reach)
+    piece = lambda n: F.when((n > 0) & (n <= size), F.array_join(F.slice("lines", start(n), n + reach - start(n) + 1), "\n"))
+    each = split.select("repo", "path", size.alias("n_lines"), F.explode_outer(F.transform("wanted", lambda n: F.struct(n.alias("line"), piece(n).alias("near")))).alias("e"))
+    pieces = each.select("repo", "path", "n_lines", F.col("e.line").alias("line"), F.col("e.near").alias("near"))
+    on = [F.col("r.repo") == F.col("p.repo"), F.col("r.path") == F.col("p.path"), F.col("r.line").eqNullSafe(F.col("p.line"))]
+    return rows.alias("r").join(pieces.alias("p"), on).select("r.*", "p.near", "p.n_lines")
+
+
 def anchors(evidence: DataFrame, files: DataFrame, window: int = WINDOW) -> DataFrame:
     """(evidence_id, verdict): whether a row's longest word stands near its line (near), elsewhere in its file (far) or nowhere (absent).
 
-    The file's lines are sliced around the cited one, so no range join is made. Rows whose file is unknown or without a word are left out.
+    Rows whose file is unknown or without a word are left out. Whole files are searched only for the distinct words that don't stand near.
     """
     words = F.regexp_extract_all("match", F.lit(r"[A-Za-z_]\w{3,}"), 0)
     longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     rows = evidence.where("file is not null and line is not null and match is not null").select("evidence_id", "repo", posix(F.col("file")).alias("path"), "line", longest.alias("symbol")).where("symbol is not null")
+    seen = with_lines(rows, files, window).select("evidence_id", "repo", "path", "symbol", F.coalesce(F.col("near").contains(F.col("symbol")), F.lit(False)).alias("close"))
+    sought = seen.where("not close").groupBy("repo", "path").agg(F.collect_set("symbol").alias("sought"))
     text = with_path(files).where("content is not null").groupBy("repo", "path").agg(F.max_by("content", "file_id").alias("content"))
-    met = rows.join(text, ["repo", "path"]).withColumn("lines", F.split(F.regexp_replace("content", "\r", ""), "\n"))
-    start = F.greatest(F.lit(1), F.col("line") - window)
-    near = F.array_join(F.slice("lines", start, F.col("line") + window - start + 1), "\n").contains(F.col("symbol"))
-    return met.select("evidence_id", F.when(near, "near").when(F.col("content").contains(F.col("symbol")), "far").otherwise("absent").alias("verdict"))
+    far = sought.join(text, ["repo", "path"]).select("repo", "path", F.explode(F.filter("sought", lambda w: F.col("content").contains(w))).alias("symbol")).withColumn("far", F.lit(True))
+    met = seen.join(far, ["repo", "path", "symbol"], "left")
+    return met.select("evidence_id", F.when(F.col("close"), "near").when(F.col("far"), "far").otherwise("absent").alias("verdict"))
 
 
 def contained(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -68,11 +88,11 @@ def contained(left: DataFrame, right: DataFrame) -> DataFrame:
     return every.select(F.col("a").alias("left_name"), F.col("b").alias("right_name"))
 
 
-def file_roles(evidence: DataFrame, most: int = 4) -> DataFrame:
-    """(repo, path, role, n, first): each file's role, the first bucket in order that it has rows of, and its first rows by id."""
+def file_roles(evidence: DataFrame) -> DataFrame:
+    """(repo, path, role, n, first): each file's role, the first bucket in order that it has rows of, its rows and the least id of them."""
     order = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket"))
     rows = evidence.where("file is not null").select("repo", posix(F.col("file")).alias("path"), "bucket", order.alias("o"), "evidence_id")
-    per = rows.groupBy("repo", "path").agg(F.min(F.when(F.col("o") > 0, F.col("o"))).alias("o"), F.count("*").alias("n"), *[F.min("evidence_id").alias("first")])
+    per = rows.groupBy("repo", "path").agg(F.min(F.when(F.col("o") > 0, F.col("o"))).alias("o"), F.count("*").alias("n"), F.min("evidence_id").alias("first"))
     role = F.coalesce(F.try_element_at(F.array(*map(F.lit, BUCKETS)), F.col("o").cast("int")), F.lit("other"))
     return per.select("repo", "path", role.alias("role"), "n", "first")
 
@@ -100,9 +120,9 @@ def slices(tokens: DataFrame, threshold: int) -> DataFrame:
     return per.withColumn("warnings", F.array_join(F.filter(warn, lambda x: x.isNotNull()), "; "))
 
 
-def scaling(before: DataFrame, after: DataFrame, factor: int) -> DataFrame:
-    """(rule_id, was, now) of rules whose count isn't `factor` times what it was."""
-    met = before.withColumnRenamed("n", "was").join(after.withColumnRenamed("n", "now"), "rule_id", "full_outer").select("rule_id", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
+def scaling(before: DataFrame, after: DataFrame, factor: int, keys: list[str]) -> DataFrame:
+    """(keys, was, now) of what (keys, n) isn't `factor` times what it was."""
+    met = before.withColumnRenamed("n", "was").join(after.withColumnRenamed("n", "now"), keys, "full_outer").select(*keys, F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
     return met.where(F.col("now") != factor * F.col("was"))
 
 
@@ -114,21 +134,32 @@ def denied(files: DataFrame, tokens: list[str]) -> DataFrame:
 
 
 def claims_hold(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """`claims` (claim_id, predicate, repo, path, needle) with ok: path_exists, path_absent, contains or not_contains.
+    """`claims` (claim_id, predicate, repo, path, needle) with ok: path_exists, path_absent, contains, not_contains, unchanged_since
+    (needle: a SHA-256) or called_by (needle: a name that is called in the file).
 
-    A claim about a missing file's text doesn't hold; an unknown predicate is null.
+    A claim about a missing file's text doesn't hold; an unknown predicate is null. Each file answers its distinct questions once.
     """
+    asked = claims.groupBy("repo", "path").agg(F.collect_set(F.struct("predicate", "needle")).alias("asked"))
     text = with_path(files).groupBy("repo", "path").agg(F.max_by(F.coalesce("content", F.lit("")), "file_id").alias("content"))
-    met = claims.join(text, ["repo", "path"], "left")
-    has, there = F.col("content").contains(F.col("needle")), F.col("content").isNotNull()
-    ok = F.when(F.col("predicate") == "path_exists", there).when(F.col("predicate") == "path_absent", ~there).when(F.col("predicate") == "contains", there & has).when(F.col("predicate") == "not_contains", there & ~has)
-    return met.select("claim_id", "predicate", ok.alias("ok"))
+    text_of, there = F.col("content"), F.col("content").isNotNull()
+
+    def holds(q: Column) -> Column:
+        p, needle = q["predicate"], q["needle"]
+        has = F.coalesce(text_of.contains(needle), F.lit(False))
+        ok = F.when(p == "path_exists", there).when(p == "path_absent", ~there).when(p == "contains", there & has).when(p == "not_contains", there & ~has)
+        ok = ok.when(p == "unchanged_since", there & (F.sha2(text_of, 256) == needle)).when(p == "called_by", there & F.coalesce(text_of.contains(F.concat(needle, F.lit("("))), F.lit(False)))
+        return F.struct(p.alias("predicate"), needle.alias("needle"), ok.alias("ok"))
+
+    answers = asked.join(text, ["repo", "path"], "left").select("repo", "path", F.explode(F.transform("asked", holds)).alias("a")).select("repo", "path", "a.*")
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"a.{k}")) for k in ("repo", "path", "predicate", "needle")]
+    return claims.alias("c").join(answers.alias("a"), on).select("c.claim_id", "c.predicate", "a.ok")
 
 
 def token_classes(files: DataFrame) -> DataFrame:
-    """(level, n_files, n_classes): Java files by raw and by token hash; files of a class differ in formatting and comments only."""
+    """(level, n_files, n_classes): Java files by raw hash, by tokens (formatting and comments aside), and by their shape (names and literals aside as well)."""
     java = with_path(files).where(F.col("path").endswith(".java") & F.col("content").isNotNull())
-    both = F.explode(F.array(F.struct(F.lit("raw").alias("level"), F.sha2("content", 256).alias("h")), F.struct(F.lit("tokens").alias("level"), F.sha2(token_key(F.col("content")), 256).alias("h"))))
+    shape = F.regexp_replace(F.regexp_replace(token_key(F.col("content")), "\"[^\"]*\"", "s"), r"(?<![\w$])(?!(?:class|interface|enum|record|extends|implements|return|if|else|for|while|switch|case|try|catch|finally|throw|new|public|private|protected|static|final|void|import|package)(?![\w$]))[A-Za-z0-9_$]+", "n")
+    both = F.explode(F.array(F.struct(F.lit("raw").alias("level"), F.sha2("content", 256).alias("h")), F.struct(F.lit("t1").alias("level"), F.sha2(token_key(F.col("content")), 256).alias("h")), F.struct(F.lit("t2").alias("level"), F.sha2(shape, 256).alias("h"))))
     return java.select(both.alias("e")).groupBy("e.level").agg(F.count("*").alias("n_files"), F.count_distinct("e.h").alias("n_classes"))
 
 
@@ -146,9 +177,9 @@ def supertypes(files: DataFrame) -> DataFrame:
 
 
 def blank_comments(text: Column) -> Column:
-    """A text of the same length with block comments and // comments (not after a colon) as spaces; line ends stay."""
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"(/\*[\s\S]*?\*/)"), 1), F.regexp_extract_all(text, F.lit(r"(?m)(?:^|[^:])(//[^\n]*)"), 1))
-    return F.aggregate(found, text, lambda t, c: F.when(c == "", t).otherwise(F.replace(t, c, F.regexp_replace(c, r"[^\n]", " "))))
+    """A text of the same length with block comments and // comments (not after a colon) as spaces; line ends and strings stay."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|/\*.*?\*/|(?<!:)//[^\n]*|.)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("/*") | (p.startswith("//") & (F.length(p) > 1)), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
 
 
 def maven(files: DataFrame) -> DataFrame:

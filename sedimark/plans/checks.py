@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedimark.functions import text as T
 from sedimark.operators import diff, documents, entities, gates, graph, inventory, typed, verify
 from sedimark.operators.evidence import BUCKETS
-from sedimark.plans.reference import _ENT, _FILE, _GROUPABLE, _IMPORTS, _TOKENS, _evidence, _files, _in, _list
+from sedimark.plans.reference import _ENT, _FILE, _GROUPABLE, _IMPORTS, _TOKENS, _evidence, _files, _in, _list, _pairs
 from sedimark.session import table
 
 QUERIES = {}
@@ -24,17 +24,17 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-_CITE = "select repo, cite_id, rule_id, match from (select *, row_number() over (partition by repo, cite_id order by loaded_at desc, rule_id desc, match desc) as rn from cite_snapshots where snapshot_no = {n}) where rn = 1"
+_CITED = "z as (select snapshot_no, repo, cite_id, rule_id, match from (select *, row_number() over (partition by snapshot_no, repo, cite_id order by loaded_at desc, rule_id desc, match desc) as rn from cite_snapshots where snapshot_no is not null) where rn = 1)"
 
 
 @query(
     "c10_recheck",
-    f"with a as ({_CITE.format(n=1)}), b as ({_CITE.format(n=2)}), j as (select a.repo, a.cite_id, b.cite_id is not null as t, a.rule_id is distinct from b.rule_id as r, a.match is distinct from b.match as m from a left join b on a.repo is not distinct from b.repo and a.cite_id is not distinct from b.cite_id) "
-    "select repo, cite_id, case when not t then 'missing' when r or m then 'drifted' else 'confirmed' end as status, case when t then concat_ws(',', case when r then 'rule_id' end, case when m then 'match' end) end as moved from j",
+    f"with {_CITED}, {_pairs('z', 'x.repo, x.cite_id, x.rule_id, x.match')}, j as (select a.snapshot_no, a.repo, a.cite_id, b.snapshot_no is not null as t, a.rule_id is distinct from b.rule_id as r, a.match is distinct from b.match as m from old a left join new b on a.snapshot_no = b.snapshot_no and a.repo is not distinct from b.repo and a.cite_id is not distinct from b.cite_id) "
+    "select snapshot_no, repo, cite_id, case when not t then 'missing' when r or m then 'drifted' else 'confirmed' end as status, case when t then concat_ws(',', case when r then 'rule_id' end, case when m then 'match' end) end as moved from j",
 )
 def _(spark, d):
-    side = lambda n: diff.latest(table(spark, d, "cite_snapshots").where(F.col("snapshot_no") == n), ["repo", "cite_id"], ["rule_id", "match"])
-    return verify.recheck(side(1), side(2), ["repo", "cite_id"], ["rule_id", "match"])
+    keys = ["snapshot_no", "repo", "cite_id"]
+    return verify.recheck(*diff.neighbours(diff.latest(table(spark, d, "cite_snapshots").where("snapshot_no is not null"), keys, ["rule_id", "match"])), keys, ["rule_id", "match"])
 
 
 @query(
@@ -44,7 +44,7 @@ def _(spark, d):
 )
 def _(spark, d):
     names = entities.entities(_files(spark, d)).where("repo is not null").select("repo", "fqcn", "class_name").distinct()
-    seen = graph.imports(_files(spark, d)).where("not endswith(qualified, '.*')").select("repo", F.explode(F.array(F.col("qualified"), F.element_at(F.split("qualified", r"\."), -1))).alias("key")).distinct()
+    seen = graph.imports(graph.parsed(_files(spark, d))).where("not endswith(qualified, '.*')").select("repo", F.explode(F.array(F.col("qualified"), F.element_at(F.split("qualified", r"\."), -1))).alias("key")).distinct()
     keyed = names.select("*", F.explode(F.array_distinct(F.array("fqcn", "class_name"))).alias("key"))
     hit = keyed.join(seen, ["repo", "key"], "left_semi").select("repo", "fqcn", "class_name").distinct().withColumn("hit", F.lit(1))
     return names.join(hit, ["repo", "fqcn", "class_name"], "left").groupBy("repo").agg(F.count("*").alias("n"), F.count("hit").alias("hit"))
@@ -109,10 +109,10 @@ def _(spark, d):
     return verify.token_classes(_files(spark, d))
 
 
-@query("d37_tag_totals", r"with c as (select len(regexp_extract_all(coalesce(text, ''), '\[Evidenced — [^\];]+(?:; inference avoided beyond this)?\]')) as e, len(regexp_extract_all(coalesce(text, ''), '\[Confirmed — interview, [^\]]+\]')) as c from documents) select 'evidenced' as tag, cast(sum(e) as bigint) as n from c union all select 'confirmed' as tag, cast(sum(c) as bigint) as n from c")
+@query("d37_tag_totals", "with t as (select coalesce(text, '') as text from documents) " + " union all ".join(f"select '{k}' as tag, cast(sum(len(regexp_extract_all(text, '{p}'))) as bigint) as n from t" for k, p in documents.TAGS.items()))
 def _(spark, d):
     rows = documents.tag_counts(table(spark, d, "documents"))
-    each = F.explode(F.create_map(F.lit("evidenced"), F.col("evidenced"), F.lit("confirmed"), F.col("confirmed")))
+    each = F.explode(F.create_map(*[x for k in documents.TAGS for x in (F.lit(k), F.col(k))]))
     return rows.select(each.alias("tag", "k")).groupBy("tag").agg(F.sum("k").alias("n"))
 
 
@@ -121,15 +121,19 @@ def _(spark, d):
     rf"with {_FILE}, n as (select repo, path, arg_max(content, file_id) filter (content is not null) as content from f group by 1, 2) select e.repo, count(*) as n, count(*) filter (line between 1 and len(string_split(content, chr(10)))) as n_inside from evidence e join n on e.repo = n.repo and trim(replace(e.file, '\', '/')) = n.path where content is not null group by 1",
 )
 def _(spark, d):
-    text = inventory.with_path(_files(spark, d)).where("content is not null").groupBy("repo", "path").agg(F.max_by("content", "file_id").alias("content"))
-    rows = _evidence(spark, d).where("file is not null").select("repo", T.posix(F.col("file")).alias("path"), "line").join(text, ["repo", "path"])
-    return rows.groupBy("repo").agg(F.count("*").alias("n"), F.count_if(F.col("line").between(1, F.size(F.split("content", "\n")))).alias("n_inside"))
+    rows = _evidence(spark, d).where("file is not null").select("repo", T.posix(F.col("file")).alias("path"), "line")
+    text = inventory.with_path(_files(spark, d)).where("content is not null").groupBy("repo", "path").agg(F.max_by(F.size(F.split("content", "\n")), "file_id").alias("n_lines"))
+    return rows.join(text, ["repo", "path"]).groupBy("repo").agg(F.count("*").alias("n"), F.count_if(F.col("line").between(1, F.col("n_lines"))).alias("n_inside"))
 
 
-@query("f5_scaling", "with a as (select rule_id, count(*) as n from cite_snapshots where snapshot_no = 1 and rule_id is not null group by 1), b as (select rule_id, count(*) as n from cite_snapshots where snapshot_no <= 2 and rule_id is not null group by 1) select coalesce(a.rule_id, b.rule_id) as rule_id, coalesce(a.n, 0) as was, coalesce(b.n, 0) as now from a full outer join b on a.rule_id = b.rule_id where coalesce(b.n, 0) <> 2 * coalesce(a.n, 0)")
+@query(
+    "f5_scaling",
+    f"with {_pairs('cite_snapshots', 'x.rule_id')}, n as (select snapshot_no, rule_id, count(*) filter (o) as was, count(*) filter (not o) as now from (select *, true as o from old union all select *, false as o from new) where rule_id is not null group by 1, 2) select * from n where now <> was",
+)
 def _(spark, d):
-    n = lambda c: table(spark, d, "cite_snapshots").where(c).where("rule_id is not null").groupBy("rule_id").agg(F.count("*").alias("n"))
-    return verify.scaling(n("snapshot_no = 1"), n("snapshot_no <= 2"), 2)
+    old, new = diff.neighbours(table(spark, d, "cite_snapshots"))
+    n = lambda x: x.where("rule_id is not null").groupBy("snapshot_no", "rule_id").agg(F.count("*").alias("n"))
+    return verify.scaling(n(old), n(new), 1, ["snapshot_no", "rule_id"])
 
 
 @query("f8_intersection", "select repo, path from (select distinct repo, trim(replace(rel_path, '\\', '/')) as path from files intersect select distinct repo, path from file_signatures)")
@@ -166,11 +170,15 @@ def _(spark, d):
     return folded.join(said, "artifact_id", "left").groupBy(F.col("certified").alias("refolded"), "said").agg(F.count("*").alias("n"))
 
 
-@query("j16_claims", None)
+@query(
+    "j16_claims",
+    rf"with {_FILE}, n as (select repo, path, arg_max(coalesce(content, ''), file_id) as content, arg_max(sha256(content), file_id) as sha from f group by 1, 2), c as (select repo, trim(replace(file, '\', '/')) as path from evidence where file is not null), p as (select c.repo, c.path, content, k.predicate from c left join n on c.repo = n.repo and c.path = n.path, (select unnest(['path_exists', 'path_absent', 'contains', 'not_contains']) as predicate) k) "
+    "select predicate, case predicate when 'path_exists' then content is not null when 'path_absent' then content is null when 'contains' then content is not null and contains(content, 'class') else content is not null and not contains(content, 'class') end as ok, count(*) as n from p group by 1, 2",
+)
 def _(spark, d):
-    rows = _evidence(spark, d).where("file is not null").select(F.col("evidence_id").alias("claim_id"), F.lit("path_exists").alias("predicate"), "repo", T.posix(F.col("file")).alias("path"), F.lit("class").alias("needle"))
-    both = rows.unionByName(rows.withColumn("predicate", F.lit("contains")))
-    return verify.claims_hold(both, _files(spark, d)).groupBy("predicate", "ok").agg(F.count("*").alias("n"))
+    rows = _evidence(spark, d).where("file is not null").select(F.col("evidence_id").alias("claim_id"), "repo", T.posix(F.col("file")).alias("path"), F.lit("class").alias("needle"))
+    kinds = F.explode(F.array(*map(F.lit, ("path_exists", "path_absent", "contains", "not_contains"))))
+    return verify.claims_hold(rows.withColumn("predicate", kinds), _files(spark, d)).groupBy("predicate", "ok").agg(F.count("*").alias("n"))
 
 
 @query("j17_denied", "select file_id, token, n from (select file_id, token, cast((length(lower(content)) - length(replace(lower(content), token, ''))) / length(token) as int) as n from files, (select unnest(['.invalid', 'farwater']) as token) where content is not null) where n > 0")

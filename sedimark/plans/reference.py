@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
-from sedimark.operators import diff, documents, entities, evidence, gates, graph, inventory, routes
-from sedimark.session import table
+from sedimark.operators import diff, documents, entities, evidence, gates, graph, inventory, ledger, routes
+from sedimark.session import cut, table
 from sedimark.streaming import twin
 
 QUERIES = {}
@@ -57,9 +57,9 @@ def _(spark, d):
     return inventory.walked(_files(spark, d)).select("file_id", "path")
 
 
-@query("a3_gitignored", f"with {_WALK} select file_id, path from w where not regexp_matches(path, '(^|/)[^/]*\\.md(/.*)?$') and not regexp_matches(path, '(^|/)scripts/.*$')")
+@query("a3_gitignored", f"with {_WALK} select file_id, path from w where (not regexp_matches(path, '(^|/)[^/]*\\.md(/.*)?$') and not regexp_matches(path, '(^|/)scripts/.*$') or regexp_matches(path, '(^|/)[^/]*_client[^/]*(/.*)?$'))")
 def _(spark, d):
-    return inventory.walked(_files(spark, d), ["# build results", "*.md", "scripts/"]).select("file_id", "path")
+    return inventory.walked(_files(spark, d), ["# build results", "*.md", "scripts/", "!*_client*"]).select("file_id", "path")
 
 
 @query(
@@ -305,10 +305,10 @@ def _(spark, d):
 
 @query(
     "h12_token_keys",
-    "select file, rule_id, count(*) as n, count(distinct match) as n_texts, count(distinct array_to_string(regexp_extract_all(regexp_replace(match, '//[^\\n]*|/\\*[^*]*\\*+([^/*][^*]*\\*+)*/', ' ', 'g'), '(\"[^\"]*\"|[A-Za-z0-9_$]+|[^\\sA-Za-z0-9_$])', 1), chr(31))) as n_keys from evidence where match is not null and not regexp_matches(match, '[^ -~\\s]') group by all",
+    "select file, rule_id, count(*) as n, count(distinct match) as n_texts, count(distinct array_to_string(regexp_extract_all(regexp_replace(match, '//[^\\n]*|/\\*[^*]*\\*+([^/*][^*]*\\*+)*/', ' ', 'g'), '(\"[^\"]*\"|[A-Za-z0-9_$]+|[^\\sA-Za-z0-9_$])', 1), chr(31))) as n_keys from evidence where match is not null group by all",
 )
 def _(spark, d):
-    rows = _evidence(spark, d).where(F.col("match").isNotNull() & ~F.col("match").rlike(r"[^ -~\s]"))
+    rows = _evidence(spark, d).where("match is not null")
     return rows.groupBy("file", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("match").alias("n_texts"), F.count_distinct(T.token_key(F.col("match"))).alias("n_keys"))
 
 
@@ -385,25 +385,27 @@ _IMPORTS = r"""j as (select repo, path as file, content, regexp_extract(content,
  res as (select repo, file, qualified, static, target, confidence from best union all select i.repo, i.file, i.qualified, i.static, null, 'unresolved' from imp i where not exists (select 1 from best b where b.repo = i.repo and b.file = i.file and b.qualified = i.qualified and b.static = i.static))"""
 
 
-def _resolved(spark, d):
-    files = _files(spark, d).where("repo is not null")
-    return graph.resolve(graph.imports(files), graph.declarations(files), graph.members(files))
+def _java(spark, d) -> DataFrame:
+    return graph.parsed(_files(spark, d).where("repo is not null"))
+
+
+def _resolved(java: DataFrame) -> DataFrame:
+    return graph.resolve(graph.imports(java), graph.declarations(java), graph.members(java))
 
 
 @query("c1_resolved_imports", f"with {_FILE}, {_IMPORTS} select * from res")
 def _(spark, d):
-    return _resolved(spark, d)
+    return _resolved(_java(spark, d))
 
 
 _COVER = "cover as (select repo, path as file, cast(row_number() over (partition by repo order by path) // 12 as int) as g from (select distinct repo, path from f where path like '%.java' and content is not null))"
 
 
-def _cover(spark, d) -> DataFrame:
+def _cover(java: DataFrame) -> DataFrame:
     """A cover by path order, twelve files a group; a file at a seam belongs to both groups."""
-    from sedimark.functions.ordered import ordered_index
+    from sedimark.functions.ordered import range_index
 
-    java = inventory.with_path(_files(spark, d)).where(F.col("path").endswith(".java") & F.col("content").isNotNull()).select("repo", F.col("path").alias("file")).distinct()
-    return ordered_index(java, ["repo"], ["file"], F.substring_index("file", "/", 1), "n").select("repo", "file", F.floor((F.col("n") + 1) / 12).cast("int").alias("group_id"))
+    return range_index(java.select("repo", "file").distinct(), ["repo"], ["file"], "n").select("repo", "file", F.floor((F.col("n") + 1) / 12).cast("int").alias("group_id"))
 
 
 @query(
@@ -411,14 +413,8 @@ def _cover(spark, d) -> DataFrame:
     f"with {_FILE}, {_IMPORTS}, {_COVER} select distinct r.repo, r.file, r.target, r.qualified, r.confidence from res r left join cover a on r.repo = a.repo and r.file = a.file left join cover b on r.repo = b.repo and r.target = b.file where r.target is not null and r.target <> r.file and (a.g is null or b.g is null or a.g <> b.g)",
 )
 def _(spark, d):
-    groups = _cover(spark, d).groupBy("repo", "file").agg(F.collect_set("group_id").alias("groups"))
-    return graph.cut_edges(_resolved(spark, d), groups)
-
-
-@query("d35_edge_stats", None)
-def _(spark, d):
-    resolved = _resolved(spark, d)
-    return graph.edge_stats(resolved, graph.cut_edges(resolved, _cover(spark, d).groupBy("repo", "file").agg(F.collect_set("group_id").alias("groups"))))
+    java = _java(spark, d)
+    return graph.cut_edges(_resolved(java), graph.membership(_cover(java).withColumnRenamed("file", "path")))
 
 
 @query(
@@ -427,7 +423,8 @@ def _(spark, d):
     "select i.repo, i.package, i.group_id, n_inside, n - n_inside as n_outside from i join s on i.repo = s.repo and i.package = s.package where n_inside < n",
 )
 def _(spark, d):
-    return graph.adjacency(graph.members(_files(spark, d).where("repo is not null")), _cover(spark, d))
+    java = _java(spark, d)
+    return graph.adjacency(graph.members(java), _cover(java))
 
 
 @query("g1_groups", None)
@@ -445,9 +442,9 @@ _PKG = f"with {_FILE}, {_IMPORTS}, e as (select distinct m.repo || ':' || m.pack
 
 
 def _package_edges(spark, d):
-    files = _files(spark, d).where("repo is not null")
-    m = graph.members(files)
-    rows = _resolved(spark, d).where("target is not null").join(m, ["repo", "file"]).join(m.select("repo", F.col("file").alias("target"), F.col("package").alias("to")), ["repo", "target"])
+    java = _java(spark, d)
+    m = graph.members(java)
+    rows = _resolved(java).where("target is not null").join(m, ["repo", "file"]).join(m.select("repo", F.col("file").alias("target"), F.col("package").alias("to")), ["repo", "target"])
     return rows.where("package <> to").select(F.concat_ws(":", "repo", "package").alias("src"), F.concat_ws(":", "repo", "to").alias("dst")).distinct()
 
 
@@ -472,44 +469,57 @@ def _(spark, d):
 
 @query("c14_route_join", None)
 def _(spark, d):
-    spec = table(spark, d, "cite_snapshots").where("snapshot_no = 1 and rule_id like 'api_surface%'")
+    spec = table(spark, d, "cite_snapshots").where("rule_id like 'api_surface%'")
     return routes.join_routes(routes.code_routes(_evidence(spark, d)), routes.code_routes(spec))
 
 
 # -- differences, rates ------------------------------------------------------------------------------------------------------
 
-_SIG = "s as (select * from file_signatures qualify row_number() over (partition by snapshot_no, repo, path order by loaded_at desc, sha256 desc nulls last) = 1)"
+_SIG = "s as (select * from file_signatures where snapshot_no is not null qualify row_number() over (partition by snapshot_no, repo, path order by loaded_at desc, sha256 desc nulls last) = 1)"
+
+
+def _pairs(rows: str, cols: str) -> str:
+    """old and new: the rows of a relation's neighbouring snapshots of a repo, by the later one."""
+    return (
+        f"steps as (select repo as r, snapshot_no as n, lag(snapshot_no) over (partition by repo order by snapshot_no) as p from (select distinct repo, snapshot_no from {rows} where snapshot_no is not null)), "
+        f"new as (select x.snapshot_no, {cols} from {rows} x join steps t on x.repo is not distinct from t.r and x.snapshot_no = t.n where t.p is not null), "
+        f"old as (select t.n as snapshot_no, {cols} from {rows} x join steps t on x.repo is not distinct from t.r and x.snapshot_no = t.p)"
+    )
 
 
 @query(
     "c9_file_status",
-    f"with {_SIG}, a as (select * from s where snapshot_no = 1), b as (select * from s where snapshot_no = 2) select coalesce(a.repo, b.repo) as repo, coalesce(a.path, b.path) as path, case when a.repo is null then 'added' when b.repo is null then 'deleted' when a.sha256 is not distinct from b.sha256 then 'unchanged' else 'changed' end as status from a full outer join b on a.repo = b.repo and a.path = b.path",
+    f"with {_SIG}, {_pairs('s', 'x.repo, x.path, x.sha256')} select coalesce(a.snapshot_no, b.snapshot_no) as snapshot_no, coalesce(a.repo, b.repo) as repo, coalesce(a.path, b.path) as path, case when a.snapshot_no is null then 'added' when b.snapshot_no is null then 'deleted' when a.sha256 is not distinct from b.sha256 then 'unchanged' else 'changed' end as status from old a full outer join new b on a.snapshot_no = b.snapshot_no and a.repo is not distinct from b.repo and a.path is not distinct from b.path",
 )
 def _(spark, d):
-    return diff.file_status(table(spark, d, "file_signatures"), 1, 2)
+    return diff.file_status(table(spark, d, "file_signatures"))
 
 
 @query(
     "c11_bag_match",
-    "with b as (select repo, rule_id, match, count(*) filter (snapshot_no = 1) as n_old, count(*) filter (snapshot_no = 2) as n_new from cite_snapshots where snapshot_no in (1, 2) group by 1, 2, 3) select repo, rule_id, match, n_old, n_new, least(n_old, n_new) as confirmed, n_old - least(n_old, n_new) as drifted from b where n_old > 0",
+    f"with {_pairs('cite_snapshots', 'x.repo, x.rule_id, x.match')}, b as (select snapshot_no, repo, rule_id, match, count(*) filter (o = 1) as n_old, count(*) filter (o = 0) as n_new from (select *, 1 as o from old union all select *, 0 as o from new) group by 1, 2, 3, 4) select *, least(n_old, n_new) as confirmed, n_old - least(n_old, n_new) as drifted from b where n_old > 0",
 )
 def _(spark, d):
-    rows = table(spark, d, "cite_snapshots")
-    return diff.bag_match(rows.where("snapshot_no = 1"), rows.where("snapshot_no = 2"), ["repo", "rule_id", "match"])
+    return diff.bag_match(*diff.neighbours(table(spark, d, "cite_snapshots")), ["snapshot_no", "repo", "rule_id", "match"])
 
 
-@query(
-    "f3_set_delta",
-    "with a as (select distinct repo, file, rule_id, match from cite_snapshots where snapshot_no = 1), b as (select distinct repo, file, rule_id, match from cite_snapshots where snapshot_no = 2) select 'added' as side, * from (select * from b except select * from a) union all select 'removed' as side, * from (select * from a except select * from b)",
-)
+_DELTA = f"with {_pairs('cite_snapshots', 'x.repo, x.file, x.rule_id, x.match')}, a as (select distinct * from old), b as (select distinct * from new), f as (select 'added' as side, * from (select * from b except select * from a) union all select 'removed' as side, * from (select * from a except select * from b))"
+
+
+@query("f3_set_delta", f"{_DELTA} select * from f")
 def _(spark, d):
-    rows = table(spark, d, "cite_snapshots")
-    return diff.set_delta(rows.where("snapshot_no = 1"), rows.where("snapshot_no = 2"), ["repo", "file", "rule_id", "match"])
+    return diff.set_delta(*diff.neighbours(table(spark, d, "cite_snapshots")), ["snapshot_no", "repo", "file", "rule_id", "match"])
 
 
-@query("f4_residue", "with a as (select distinct repo, file, rule_id, match from cite_snapshots where snapshot_no = 1), b as (select distinct repo, file, rule_id, match from cite_snapshots where snapshot_no = 2) select repo, count(*) as n from (select * from a except select * from b) group by 1")
+@query(
+    "f4_residue",
+    f"{_DELTA} select r.relation, snapshot_no, repo, count(*) as n from f, (select unnest(['unchanged', 'grows_only', 'confined_to_rules', 'confined_to']) as relation) r where case r.relation when 'unchanged' then true when 'grows_only' then side = 'removed' when 'confined_to_rules' then not coalesce(rule_id in ('persistence__entity', 'raw_queries__query'), false) else not coalesce(file like '%.java', false) end group by 1, 2, 3",
+)
 def _(spark, d):
-    return diff.residue(QUERIES["f3_set_delta"](spark, d), "grows_only").groupBy("repo").agg(F.count("*").alias("n"))
+    delta = cut(QUERIES["f3_set_delta"](spark, d))
+    found = [diff.residue(delta, r, c).withColumn("relation", F.lit(r)) for r, c in (("unchanged", None), ("grows_only", None), ("confined_to_rules", ["persistence__entity", "raw_queries__query"]))]
+    found.append(delta.where(~F.coalesce(F.col("file").like("%.java"), F.lit(False))).withColumn("relation", F.lit("confined_to")))
+    return ledger.union_tagged({str(i): x for i, x in enumerate(found)}).groupBy("relation", "snapshot_no", "repo").agg(F.count("*").alias("n"))
 
 
 @query("f7_key_delta", None)
@@ -518,47 +528,35 @@ def _(spark, d):
     return diff.key_delta(evidence.key_sets(table(spark, d, "config_key_sets")).where("file like '%.properties'"), fresh)
 
 
+def _signed(spark, d) -> DataFrame:
+    """The signatures of every snapshot, with repo and snapshot as one scope."""
+    rows = diff.latest(table(spark, d, "file_signatures").where("snapshot_no is not null"), ["snapshot_no", "repo", "path"], ["sha256"])
+    return rows.withColumn("scope", F.concat_ws("#", F.coalesce("repo", F.lit("")), "snapshot_no"))
+
+
 @query(
     "d10_inventory_root",
-    f"with {_SIG}, o as (select distinct repo, path, coalesce(sha256, '') as sha256 from s where snapshot_no = 2) select repo, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' order by path, sha256)) as root from o group by 1",
+    f"with {_SIG}, o as (select distinct coalesce(repo, '') || '#' || snapshot_no as scope, path, coalesce(sha256, '') as sha256 from s where path is not null) select scope, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' order by path, sha256)) as root from o group by 1",
 )
 def _(spark, d):
-    return diff.inventory_root(diff.latest(table(spark, d, "file_signatures").where("snapshot_no = 2"), ["repo", "path"], ["sha256"]))
+    return diff.inventory_root(_signed(spark, d), "scope")
 
 
 @query("d10_merkle_root", None)
 def _(spark, d):
-    return diff.merkle_root(diff.latest(table(spark, d, "file_signatures").where("snapshot_no = 2"), ["repo", "path"], ["sha256"]))
+    return diff.merkle_root(_signed(spark, d), ("snapshot_no", "repo"))
 
 
 @query("j6_covering", None)
 def _(spark, d):
-    rows = table(spark, d, "file_signatures")
-    roots = diff.merkle_root(diff.latest(rows.where("snapshot_no = 2"), ["repo", "path"], ["sha256"]))
-    acked = diff.merkle_root(diff.latest(rows.where("snapshot_no = 2 and sha256 is not null"), ["repo", "path"], ["sha256"]))
-    receipts = acked.select("repo", F.lit("astgrep").alias("scanner"), F.lit("complete").alias("status"), F.col("root").alias("acked_root")).join(roots.withColumnRenamed("root", "expected_root"), "repo")
-    return gates.covering_verdict(receipts, roots)
-
-
-_RATES = f"""with {_FILE}, {_ENT}, {_QUERY}, m as (select repo, class_name, count(distinct (file, "table")) as n from e group by 1, 2), c as (select repo, count(*) filter (n > 1) / count(*) as r_coll from m group by 1),
- l as (select repo, count(*) filter (query is not null) / count(*) as r_lin from q group by 1)"""
-
-
-@query("d11_rates", _RATES + " select coalesce(c.repo, l.repo) as repo, r_coll, r_lin from c full outer join l on c.repo = l.repo")
-def _(spark, d):
-    m = entities.entity_map(entities.entities(_files(spark, d))).groupBy("repo").agg(T.rate(F.count_if(F.col("status") == "contested"), F.count("*")).alias("r_coll"))
-    q = entities.evidence_queries(_evidence(spark, d)).groupBy("repo").agg(T.rate(F.count("query"), F.count("*")).alias("r_lin"))
-    return m.join(q, "repo", "full_outer")
-
-
-@query(
-    "d13_uncertainty",
-    _RATES + ", r as (select coalesce(c.repo, l.repo) as repo, r_coll, r_lin from c full outer join l on c.repo = l.repo) select repo, case when r_coll is not null or r_lin is not null then 0.30 * coalesce(r_coll, 0) + 0.25 * 0 + 0.30 * (1 - coalesce(r_lin, 1)) + 0.15 * 0 end as u, case when r_coll is null and r_lin is null then 'vacuous_no_support' else 'comparison_index_partial_support' end as claim from r",
-)
-def _(spark, d):
-    none = F.lit(None).cast("double")
-    u = diff.uncertainty(F.col("r_coll"), none, F.col("r_lin"), none, F.lit(0), F.lit(0))
-    return QUERIES["d11_rates"](spark, d).select("repo", u.alias("u")).select("repo", "u.u", "u.claim")
+    signed = _signed(spark, d).withColumnRenamed("repo", "r").withColumnRenamed("scope", "repo")
+    parts = {"all_signatures": F.lit(True), "java_only": F.col("path").endswith(".java"), "non_java": ~F.col("path").endswith(".java")}
+    roots = cut(ledger.union_tagged({k: diff.merkle_root(signed.where(c)) for k, c in parts.items()}, "scope"))
+    whole = roots.where("scope = 'all_signatures'")
+    proofs = whole.select("repo", F.lit(1).alias("schema_version"), F.col("root").alias("inventory_root"), F.lit("v1").alias("scanner_version"), F.col("root").alias("barrier_root"), F.lit("v1").alias("known_version"))
+    acked = diff.merkle_root(signed.where("sha256 is not null")).select("repo", F.col("root").alias("acked"))  # files without a signature were never acknowledged
+    both = roots.join(acked, "repo", "left").select("repo", F.hash("scope").alias("nth"), F.concat(F.lit("arm of "), "scope").alias("scanner"), F.lit("complete").alias("status"), "scope", F.col("root").alias("expected_root"), F.when(F.col("scope") == "all_signatures", F.col("acked")).otherwise(F.col("root")).alias("acked_root"))
+    return gates.covering_verdict(proofs, both, roots)
 
 
 @query("d22_certification", None)
@@ -566,15 +564,6 @@ def _(spark, d):
     return gates.certification_fold(table(spark, d, "artifacts"))
 
 
-@query("d24_recall", "with a as (select distinct repo, file, rule_id from evidence where scanner = 'codeql'), b as (select distinct repo, file, rule_id from evidence where scanner = 'astgrep'), m as (select a.repo, count(*) as oracle, count(b.repo) as matched from a left join b on a.repo is not distinct from b.repo and a.file is not distinct from b.file and a.rule_id is not distinct from b.rule_id group by 1) select repo, oracle, matched, matched / oracle as recall from m")
-def _(spark, d):
-    side = lambda s: _evidence(spark, d).where(F.col("scanner") == s).select("repo", "file", "rule_id").distinct()
-    a, b = side("codeql").alias("a"), side("astgrep").withColumn("hit", F.lit(1)).alias("b")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("repo", "file", "rule_id")]
-    per = a.join(b, on, "left").groupBy("a.repo").agg(F.count("*").alias("oracle"), F.count("b.hit").alias("matched"))
-    return per.withColumn("recall", T.rate(F.col("matched"), F.col("oracle")))
-
-
 @query("h20_pseudonyms", "select distinct 'repo_' || left(sha256('salt' || repo), 12) as name from files where repo is not null")
 def _(spark, d):
     return _files(spark, d).where("repo is not null").select(T.pseudonym("repo", F.col("repo"), "salt").alias("name")).distinct()
@@ -609,13 +598,23 @@ def _(spark, d):
     return documents.untagged_claims(table(spark, d, "documents"))
 
 
-@query("c22_closest", None)
+_STOP = "[" + ", ".join(f"'{w}'" for w in documents.STOPWORDS) + "]"
+_CLAIMS = r"""p as (select doc_id, doc_type, unnest(regexp_extract_all(text, '([^\n\]]*)\[Confirmed — interview, [^\]]+\]', 1)) as prefix, unnest(range(len(regexp_extract_all(text, '([^\n\]]*)\[Confirmed — interview, [^\]]+\]', 1)))) as nth from documents where text is not null),
+ c as (select doc_id, doc_type, nth, trim(string_split(regexp_replace(rtrim(prefix), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[-1]) as claim from p), """
+
+
+@query(
+    "c22_closest",
+    "with " + _CLAIMS + f"""w as (select doc_id * 100000 + nth as id, doc_id, doc_type, list_sort(list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z0-9]+'), lambda x: length(x) > 1 and not list_contains({_STOP}, x)))) as ws from c where claim <> ''),
+ a as (select * from w where len(ws) > 0 and doc_id % 100 = 0), b as (select ws, min(id) as id from w where len(ws) > 0 and doc_type = 'interview' group by 1),
+ j as (select a.id as left_id, b.id as right_id, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) as overlap from a, b)
+ select left_id, arg_max(right_id, (overlap, -right_id)) as right_id, max(overlap) as overlap from j where overlap >= 0.15 group by 1""",
+)
 def _(spark, d):
-    docs = table(spark, d, "documents").where("text is not null")
-    confirmed = F.regexp_extract("text", r"([^.!?\n]+[.!?])\s*\[Confirmed — interview", 1)
-    claims = docs.select("doc_id", "doc_type", confirmed.alias("claim")).where("claim <> ''")
-    asked = claims.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"), F.col("claim").alias("text"))  # the stated set of queries
-    return documents.closest(asked, claims.where("doc_type = 'interview'").select(F.col("doc_id").alias("id"), F.col("claim").alias("text")), 0.5)
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    claims = documents.tagged_claims(docs).join(docs.select("doc_id", "doc_type").distinct(), "doc_id").select((F.col("doc_id") * 100_000 + F.col("nth")).alias("id"), "doc_id", "doc_type", F.col("claim").alias("text"))
+    asked = claims.where("doc_id % 100 = 0").select("id", "text")  # the stated set of queries
+    return documents.closest(asked, claims.where("doc_type = 'interview'").select("id", "text"))
 
 
 @query("g12_diagrams", None)

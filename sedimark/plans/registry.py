@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.plans import checks, problems, reference
+from sedimark.plans import checks, measures, problems, reference
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES, **reference.QUERIES, **checks.QUERIES}
-SQL: dict[str, str] = {**problems.SQL, **reference.SQL, **checks.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES, **reference.QUERIES, **checks.QUERIES, **measures.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **reference.SQL, **checks.SQL, **measures.SQL}
