@@ -33,18 +33,18 @@ def with_lines(rows: DataFrame, files: DataFrame, reach: int = 0) -> DataFrame:
     """`rows` (repo, path, line, ...) with near: the text of the lines from `reach` before to `reach` after each row's line, and n_lines.
 
     Each file is split once: its rows are first reduced to the distinct lines they name, so a file meets one list of lines, and the
-    pieces go back to the rows by line. Rows whose file is unknown are left out; near is null for lines outside of the file. Carriage
+    pieces go back to the rows by line. Rows whose file is unknown are left out; near is null for null lines and those outside of the file. Carriage
     returns are left out. Of a file delivered more than once the greatest file_id counts.
     """
     text = with_path(files).where("content is not null").groupBy("repo", "path").agg(F.max_by("content", "file_id").alias("content"))
-    wanted = rows.groupBy("repo", "path").agg(F.array_sort(F.collect_set("line")).alias("wanted"))
+    wanted = rows.groupBy("repo", "path").agg(F.array_sort(F.collect_set(F.coalesce("line", F.lit(0)))).alias("wanted"))
     split = wanted.join(text, ["repo", "path"]).withColumn("lines", F.split(F.regexp_replace("content", "\r", ""), "\n"))
     size = F.size("lines")
     start = lambda n: F.greatest(F.lit(1), n - reach)
     piece = lambda n: F.when((n > 0) & (n <= size), F.array_join(F.slice("lines", start(n), n + reach - start(n) + 1), "\n"))
     each = split.select("repo", "path", size.alias("n_lines"), F.explode_outer(F.transform("wanted", lambda n: F.struct(n.alias("line"), piece(n).alias("near")))).alias("e"))
     pieces = each.select("repo", "path", "n_lines", F.col("e.line").alias("line"), F.col("e.near").alias("near"))
-    on = [F.col("r.repo") == F.col("p.repo"), F.col("r.path") == F.col("p.path"), F.col("r.line").eqNullSafe(F.col("p.line"))]
+    on = [F.col("r.repo") == F.col("p.repo"), F.col("r.path") == F.col("p.path"), F.coalesce(F.col("r.line"), F.lit(0)) == F.col("p.line")]
     return rows.alias("r").join(pieces.alias("p"), on).select("r.*", "p.near", "p.n_lines")
 
 
