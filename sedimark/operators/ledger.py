@@ -323,10 +323,10 @@ def perturbed(text: Column) -> dict[str, Column]:
     """Layouts of a Java text that change no token: a comment above the first annotation, doubled indents, a blank line more, and
     arguments of annotations on lines of their own."""
     return {
-        "add_comment": F.regexp_replace(text, r"(?s)\A(.*?\n|)([ \t]*)(@\w)", "$1$2// reviewed\n$2$3"),
+        "add_comment": F.regexp_replace(text, r"(?s)\A((?:.*?\n)??)([ \t]*)(@\w)", "$1$2// reviewed\n$2$3"),
         "reindent": F.regexp_replace(text, r"(?m)^([ \t]+)(?=\S)", "$1$1"),
         "blank_lines": F.regexp_replace(text, r"(?s)\A(.*?)\n\n(?!\n)", "$1\n\n\n"),
-        "wrap_annotation_args": F.regexp_replace(text, r"(?m)^([ \t]*@\w+)\(([^()\n/]+)\)[ \t]*$", "$1(\n        $2\n    )"),
+        "wrap_annotation_args": F.regexp_replace(text, r"(?m)^(?![^\n]*//)([ \t]*@\w+)\(([^()\n]+)\)[ \t]*$", "$1(\n        $2\n    )"),
     }
 
 

@@ -43,15 +43,20 @@ def successions(df: DataFrame, scope: list[str], snapshot: str = "snapshot_no")
 
 
 def advance(index: DataFrame | None, delivery: DataFrame, scope: list[str], key: list[str], values: list[str], loaded: str = "loaded_at", flags: DataFrame | None = None) -> DataFrame:
-    """One step: the index that takes the place of `index` (None before the first delivery), stored in buckets.
+    """One step, stored in buckets (`probe` says what it holds): the index that takes the place of `index`, with the delivery's changes."""
+    return bucketed(probe(index, delivery, scope, key, values, loaded, flags), KEY)
 
-    Its rows are (kh0, kh1, scope, key, h0, h1, change_kind): what `entries` gives is the new index, what `changed` gives are the
+
+def probe(index: DataFrame | None, delivery: DataFrame, scope: list[str], key: list[str], values: list[str], loaded: str = "loaded_at", flags: DataFrame | None = None) -> DataFrame:
+    """A delivery against the index of the last snapshot (None before the first delivery).
+
+    The rows are (kh0, kh1, scope, key, h0, h1, change_kind): what `entries` gives is the new index, what `changed` gives are the
     changes of this delivery. Entries of scopes that the delivery lacks stay as they are; a scope that the index doesn't know
     yet gives no changes. `flags`: (scope, came, known), derived from both sides if it isn't given.
     """
     new = snapshot_index(delivery, scope, key, values, loaded)
     if index is None:
-        return bucketed(new.withColumn("change_kind", F.lit(None).cast("string")), KEY)
+        return new.withColumn("change_kind", F.lit(None).cast("string"))
     if flags is None:
         came, known = delivery.select(*scope).distinct().withColumn("came", F.lit(True)), index.select(*scope).distinct().withColumn("known", F.lit(True))
         met = came.alias("c").join(known.alias("k"), _same("c", "k", scope), "full_outer")
@@ -64,7 +69,7 @@ def advance(index: DataFrame | None, delivery: DataFrame, scope: list[str], key:
     probed = both.select(*[pick(c).alias(c) for c in [*KEY, *scope, *key, "h0", "h1"]], kind.alias("change_kind"))
     told = probed.alias("p").join(flags.alias("f"), _same("p", "f", scope), "left")
     quiet = ((F.col("change_kind") == "added") & ~F.col("f.known")) | ((F.col("change_kind") == "removed") & ~F.col("f.came"))
-    return bucketed(told.select(*[F.col(f"p.{c}") for c in [*KEY, *scope, *key, "h0", "h1"]], F.when(~quiet, F.col("change_kind")).alias("change_kind")), KEY)
+    return told.select(*[F.col(f"p.{c}") for c in [*KEY, *scope, *key, "h0", "h1"]], F.when(~quiet, F.col("change_kind")).alias("change_kind"))
 
 
 def entries(step: DataFrame) -> DataFrame:

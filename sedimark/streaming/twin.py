@@ -27,18 +27,14 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
 def follow_snapshots(stream: DataFrame, folder: str, scope: list[str], key: list[str], values: list[str]):
     """A stream writer that compares every micro-batch (one delivery) with the stored index and swaps the index.
 
-    Writes folder/changes/batch=N and folder/index-N. A batch that runs again after a failure reads the index of the batch before
-    it and overwrites its own output, so each delivery counts once.
+    Writes folder/index-N, the index with the kind of change of each entry, and folder/changes/batch=N. A batch that runs again
+    after a failure reads the index of the batch before it and overwrites its own output, so each delivery counts once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number:
-            index = spark.read.parquet(f"{folder}/index-{number - 1}")
-        else:
-            index = snapshots.snapshot_index(batch.limit(0), scope, key, values).drop("snap")
-        found, fresh = snapshots.advance(index, batch, scope, key, values)
-        found.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-        fresh.write.mode("overwrite").parquet(f"{folder}/index-{number}")
+        index = snapshots.entries(spark.read.parquet(f"{folder}/index-{number - 1}")) if number else None
+        snapshots.probe(index, batch, scope, key, values).write.mode("overwrite").parquet(f"{folder}/index-{number}")
+        snapshots.changed(spark.read.parquet(f"{folder}/index-{number}"), scope, key).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
