@@ -88,19 +88,17 @@ def copies(evidence: DataFrame) -> DataFrame:
     and texts of signs only, equal each other and not null. Exact copies count as copies. Rows without evidence_id are left
     out. Extra columns are not read.
     """
-    cols = ["evidence_id", "repo", "line", "file", "rule_id", "match"]
     rows = evidence.where("evidence_id is not null").select(
         F.col("evidence_id").cast("long").alias("evidence_id"), "repo", F.col("line").cast("int").alias("line"), "file", "rule_id", "match"
     )
     hashed = staged(spread(rows).mapInArrow(_hashed, "evidence_id bigint, repo string, line int, file string, rule_id string, match string, k1 bigint, k2 bigint"))
-    groups = hashed.groupBy(*KEYS).agg(F.min(F.struct("evidence_id", "file", "rule_id", "match")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    on = [hashed[k].eqNullSafe(groups[k]) for k in KEYS]
-    met = hashed.join(groups, on).where("evidence_id <> first.evidence_id")
-    pairs = met.select(
-        F.col("first.evidence_id").alias("first_id"), F.col("evidence_id").alias("copy_id"),
-        F.col("first.file").alias("f0"), F.col("first.rule_id").alias("r0"), F.col("first.match").alias("m0"),
-        hashed["file"].alias("f1"), hashed["rule_id"].alias("r1"), hashed["match"].alias("m1"),
-    )
+    ids = hashed.groupBy(*KEYS).agg(F.min("evidence_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")  # no texts travel here
+    on = [hashed[k].eqNullSafe(ids[k]) for k in KEYS]
+    again = staged(hashed.join(ids, on).select("first_id", "evidence_id", "file", "rule_id", "match"))
+    texts = lambda n: [F.col(c).alias(f"{a}{n}") for c, a in (("file", "f"), ("rule_id", "r"), ("match", "m"))]
+    firsts = again.where("evidence_id = first_id").dropDuplicates(["first_id"]).select("first_id", *texts(0))
+    others = again.where("evidence_id <> first_id").select("first_id", F.col("evidence_id").alias("copy_id"), *texts(1))
+    pairs = others.join(firsts, "first_id").select("first_id", "copy_id", "f0", "r0", "m0", "f1", "r1", "m1")
     checked = cut(pairs.mapInArrow(_verified, "first_id bigint, copy_id bigint, same boolean, p binary, s binary, fp binary, fs binary"))
     apart = checked.where("not same")
     forms = checked.where("p is not null").groupBy("first_id", "p", "s", "fp", "fs").agg(F.min("copy_id").alias("copy_id"))
